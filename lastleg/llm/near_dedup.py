@@ -11,10 +11,11 @@ likelihood; what may reach the threshold is verified on the full sets.
 
 No group is expanded into its pairs. Documents with equal sets are one class
 and only its least id goes on. In a band, the candidates of a class are joined
-to a spanning forest of the best estimates; after verification, only pairs
-that the forest left in different components are looked at again. Bands with
-more classes than a block holds are dealt into blocks by a hash that differs
-from band to band.
+to a spanning forest of the best estimates; after verification, blocks that
+still hold several components are compared once more, all their full sets at
+once by a matrix product, and give one link for each two components they join.
+Bands with more classes than a block holds are dealt into blocks by a hash
+that differs from band to band.
 
 Texts that are null, empty or without words have no set and are linked with
 nothing. Repeated rows (one id, equal sets) are one class. A null id is linked
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import Written, map_batches, mix64, partitions, texts_of, to_batch, unique_sorted, WordHashes
+from lastleg.llm.common import WordHashes, Written, map_batches, mix64, partitions, texts_of, unique_sorted
 from lastleg.llm.components import components
 
 REGISTERS, BANDS = 128, 32
@@ -106,22 +107,13 @@ def may_link(regs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray,
     return np.where(np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9, got, -1.0)
 
 
-def block_pairs(regs: np.ndarray, sizes: np.ndarray, component: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of one band's block to verify: a forest of the best estimates, or all across known components.
-
-    In the first case also (i, i) for every class that has a likely partner.
-    """
+def block_forest(regs: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a block's best estimates, and (i, i) for every class that has a likely partner."""
     n, least = len(regs), similarity - SLACK
     estimate = np.full((n, n), -1.0)
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        if component is not None:
-            j = j[component[j] != component[i]]
-        if len(j):
-            estimate[i, j] = estimate[j, i] = may_link(regs, sizes, np.full(len(j), i), j, similarity)
-    if component is not None:
-        yield from zip(*np.nonzero(np.triu(estimate, 1) >= least), strict=True)
-        return
+        estimate[i, j] = estimate[j, i] = may_link(regs, sizes, np.full(len(j), i), j, similarity)
     yield from ((i, i) for i in np.flatnonzero(estimate.max(axis=1) >= least))
     outside, best, parent = np.ones(n, dtype=bool), np.full(n, -2.0), np.full(n, -1)
     while outside.any():
@@ -133,6 +125,35 @@ def block_pairs(regs: np.ndarray, sizes: np.ndarray, component: np.ndarray | Non
         best[closer], parent[closer] = estimate[i][closer], i
 
 
+def shared_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Exact intersection sizes of all sets of a block, by products of their incidence matrices."""
+    sizes = [len(x) for x in sets]
+    values, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(sets)), sizes), np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[at]
+    row, column = row[column >= 0], column[column >= 0]  # what only one set has is in no intersection
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        x = np.zeros((len(sets), width), dtype=np.float32)
+        x[row[part], column[part] - low] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def block_links(sets: list[np.ndarray], component: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """True links between different components of a block: one for each two that they join."""
+    both, sizes = shared_counts(sets), np.array([len(x) for x in sets])
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    label = component.copy()
+    for i in range(len(sets)):
+        for j in np.flatnonzero(linked[i]):
+            if label[j] != label[i]:
+                yield i, int(j)
+                label[label == label[j]] = label[i]
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batch: pa.RecordBatch):
         sets = [shingle_set(t, words) for t in texts_of(batch)]
@@ -146,62 +167,80 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "doc_id bigint, n_shingles bigint, whole binary, regs binary", rows=500)
 
 
-def _candidates(bands: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """Pairs (a, b) to verify from rows (key, rep, n, regs[, component]), dealt by key."""
-    spark = bands.sparkSession
-    dealt = bands.repartition(partitions(spark), "key").sortWithinPartitions("key", "rep")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL("a bigint, b bigint"))
-
-    def pairs_of(keys, reps, sizes, regs, comps):
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        starts, lengths = edges[:-1], np.diff(edges)
-        two = starts[lengths == 2]
-        if len(two):
-            if comps is not None:
-                two = two[comps[two] != comps[two + 1]]
-            likely = may_link(regs, sizes, two, two + 1, similarity) >= similarity - SLACK if len(two) else np.zeros(0, bool)
-            for k in two[likely]:
-                yield reps[k], reps[k + 1]
-                if comps is None:
-                    yield reps[k], reps[k]
-                    yield reps[k + 1], reps[k + 1]
-        for s, n in zip(starts, lengths, strict=True):
-            if n > 2:
-                # a block is dealt evenly by a hash, so it holds about BLOCK classes; take larger ones in parts
-                for at in range(s, s + n, 2 * BLOCK):
-                    end = min(at + 2 * BLOCK, s + n)
-                    comp = None if comps is None else comps[at:end]
-                    for i, j in block_pairs(regs[at:end], sizes[at:end], comp, similarity):
-                        yield reps[at + i], reps[at + j]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole keys from batches that are sorted by key."""
+    left: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if left is None else pa.concat_tables([left, now])
+        if not now.num_rows:
+            continue
+        keys = now["key"].to_numpy()
+        whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if whole:
+            yield now.slice(0, whole)
+        left = now.slice(whole)
+    if left is not None and left.num_rows:
+        yield left
 
-    def run(batches):
-        left: pa.Table | None = None
 
-        def out(table: pa.Table):
-            got = set()
+def _spans(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal keys. Blocks are dealt evenly by a hash and hold about BLOCK classes; larger ones are taken in parts."""
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
+    for start, end in zip(edges, edges[1:], strict=False):
+        for at in range(start, end, 2 * BLOCK):
+            yield at, min(at + 2 * BLOCK, end)
+
+
+def _dealt(bands: DataFrame) -> DataFrame:
+    return bands.repartition(partitions(bands.sparkSession), "key").sortWithinPartitions("key", "rep")
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    ordered = sorted(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _candidates(bands: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) to verify from rows (key, rep, n, regs): forests of the best estimates; (a, a) where a has a likely partner."""
+
+    def run(batches):
+        for table in _groups(batches):
             regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-            columns = [table[c].to_numpy() for c in ("key", "rep", "n")]
-            comps = table["component"].to_numpy() if across else None
-            got.update((min(a, b), max(a, b)) for a, b in pairs_of(*columns, regs, comps))
-            return to_batch({"a": [int(a) for a, _ in got], "b": [int(b) for _, b in got]}, target)
-
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if left is None else pa.concat_tables([left, now])
-            keys = now["key"].to_numpy()
-            if not len(keys):
-                continue
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if whole:
-                yield out(now.slice(0, whole))
-            left = now.slice(whole)
-        if left is not None and left.num_rows:
-            yield out(left)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+            keys, reps, sizes = (table[c].to_numpy() for c in ("key", "rep", "n"))
+            spans = list(_spans(keys))
+            found: set[tuple[int, int]] = set()
+            two = np.array([s for s, e in spans if e - s == 2], dtype=np.int64)
+            if len(two):
+                for k in two[may_link(regs, sizes, two, two + 1, similarity) >= similarity - SLACK]:
+                    a, b = int(reps[k]), int(reps[k + 1])
+                    found |= {(a, a), (b, b), (min(a, b), max(a, b))}
+            for s, e in spans:
+                if e - s > 2:
+                    for i, j in block_forest(regs[s:e], sizes[s:e], similarity):
+                        a, b = int(reps[s + i]), int(reps[s + j])
+                        found.add((min(a, b), max(a, b)))
+            yield _pair_batch(found)
+
+    return _dealt(bands).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _links_across(bands: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that the forests have missed, from rows (key, rep, component, members) of blocks with several components."""
+    percent = round(100 * similarity)
+
+    def run(batches):
+        for table in _groups(batches):
+            keys, reps, comps = (table[c].to_numpy() for c in ("key", "rep", "component"))
+            found = set()
+            for s, e in _spans(keys):
+                sets = [np.frombuffer(x, dtype="<u8") for x in table["members"].slice(s, e - s).to_pylist()]
+                for i, j in block_links(sets, comps[s:e], percent):
+                    a, b = int(reps[s + i]), int(reps[s + j])
+                    found.add((min(a, b), max(a, b)))
+            yield _pair_batch(found).rename_columns(["u", "v"])
+
+    return _dealt(bands).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -237,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     members = work.table(slim.join(shared, "key").select(F.xxhash64("key", block).alias("key"), "rep"), "members")
     with_regs = members.join(classes.select("rep", "n", "regs"), "rep")
 
-    found = work.table(_candidates(with_regs, similarity, False), "candidates")
+    found = work.table(_candidates(with_regs, similarity), "candidates")
     ends = found.where("a = b").select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id"), "whole"), "doc_id")
 
     def full(batch: pa.RecordBatch):
@@ -250,14 +289,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
                 members.append(own)
         yield {"rep": rep, "members": members}
 
-    sets = work.table(map_batches(plain.join(ends, "doc_id").select("doc_id", "text", "whole"), full, "rep bigint, members binary", rows=500), "sets").dropDuplicates(["rep"])
+    sets = work.table(map_batches(plain.join(ends, "doc_id").select("doc_id", "text", "whole"), full, "rep bigint, members binary", rows=500), "sets")
+    if sets.count() > sets.select("rep").distinct().count():  # rows that repeat an id
+        sets = work.table(sets.dropDuplicates(["rep"]), "sets")
 
     links = work.table(_verified(found.where("a <> b"), sets, similarity), "links")
     linked = work.table(components(links, work), "components")
     apart = members.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    again = _candidates(apart.join(mixed, "key").join(classes.select("rep", "n", "regs"), "rep"), similarity, True)
-    more = work.table(_verified(again.join(found, ["a", "b"], "left_anti"), sets, similarity), "links")
+    # classes without a likely partner have no set here and drop out
+    again = apart.join(mixed, "key").join(sets, "rep").select("key", "rep", "component", "members")
+    more = work.table(_links_across(again, similarity), "links")
     if more.limit(1).count():
         linked = work.table(components(links.unionByName(more), work), "components")
 
