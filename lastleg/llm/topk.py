@@ -94,10 +94,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                 query, at, count = [], [], []
                 for i in range(len(q_ids)):
                     own = scores[i][c_ids != q_ids[i]]
+                    if not len(own):  # the block holds the query alone
+                        continue
                     if lows is None:
                         place = own >> 20
                     else:
-                        place = np.minimum((own[own >= lows[i]] - lows[i]) // widths[i], bins)
+                        own = own[own >= lows[i]]
+                        if not len(own):
+                            continue
+                        place = np.minimum((own - lows[i]) // widths[i], bins)
                     bin_at, n = np.unique(place, return_counts=True)
                     above = np.concatenate((np.cumsum(n[::-1])[::-1][1:], [0]))
                     keep = above < k
