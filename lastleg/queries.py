@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lastleg.functions import clock, cost, geo, text
+from lastleg.operators import profile, resolution, routing, spatial
+from lastleg.plans import models
+from lastleg.sources import tables as T
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """15-minute traffic profile of the sensors."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.hour("ts").alias("hour_of_day")).agg(F.count("*").alias("n")).orderBy("hour_of_day")
+def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``views`` names the derived views that its SQL uses."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            head = ", ".join(T.SQL[v] for v in views.split())
+            body = sql.strip()
+            _SQL[f.__name__] = f"WITH {head}, {body[5:]}" if head and body.startswith("WITH ") else f"WITH {head} {body}" if head else body
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
@@ -25,3 +38,452 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five delivery models side by side."""
+    return models_compare(spark, sf_dir)
+
+
+# -- traffic profiles ---------------------------------------------------------
+
+_VALID = "v AS (SELECT *, isodow(ts)-1 AS weekday, (hour(ts)*60 + (minute(ts)//15)*15)::INT AS slot FROM rd WHERE read_error='N' AND intensity>=0 AND occupancy>=0 AND hour(ts) BETWEEN 7 AND 20)"
+
+
+@query(f"WITH {_VALID} SELECT weekday::INT AS weekday, slot, count(*) AS n, round(avg(intensity),6) AS mean_intensity, round(quantile_cont(intensity,0.25),6) AS p25, round(quantile_cont(intensity,0.5),6) AS p50, round(quantile_cont(intensity,0.75),6) AS p75, count(*) FILTER (speed>=5) AS n_speed, round(avg(speed) FILTER (speed>=5),6) AS mean_speed FROM v GROUP BY 1, 2", "rd")
+def profile_15min(spark, d):
+    return profile.profile(profile.valid_readings(T.readings(spark, d)))
+
+
+@query(f"WITH {_VALID}, c AS (SELECT weekday, intensity, count(*) AS n FROM v GROUP BY 1,2), r AS (SELECT *, sum(n) OVER (PARTITION BY weekday ORDER BY intensity) AS upto, sum(n) OVER (PARTITION BY weekday) AS total FROM c) SELECT weekday::INT AS weekday, max(total)::BIGINT AS total, min(intensity) FILTER (upto>=total*0.25) AS q25, min(intensity) FILTER (upto>=total*0.5) AS q50, min(intensity) FILTER (upto>=total*0.75) AS q75 FROM r GROUP BY 1", "rd")
+def profile_quantiles_cumfreq(spark, d):
+    return profile.frequency_quantiles(profile.valid_readings(T.readings(spark, d)))
+
+
+@query(f"WITH {_VALID}, p AS (SELECT sensor_id, ts::DATE AS day, count(*) AS n, sum(intensity) AS s FROM v GROUP BY 1,2) SELECT sensor_id, count(*) AS days, sum(n)::BIGINT AS n, round(sum(s)/sum(n),6) AS mean_intensity FROM p GROUP BY 1", "rd")
+def profile_partial_final(spark, d):
+    return profile.two_step_means(profile.valid_readings(T.readings(spark, d)))
+
+
+@query(f"WITH {_VALID} SELECT count(*) AS n, count(DISTINCT sensor_id) AS sensors, count(DISTINCT (weekday, slot)) AS slots, min(intensity) AS least, max(intensity) AS most FROM v", "rd")
+def profile_summary(spark, d):
+    v = profile.valid_readings(T.readings(spark, d))
+    return v.agg(F.count("*").alias("n"), F.countDistinct("sensor_id").alias("sensors"), F.countDistinct("weekday", "slot").alias("slots"), F.min("intensity").alias("least"), F.max("intensity").alias("most"))
+
+
+@query("SELECT read_error, hour(ts) BETWEEN 7 AND 20 AS in_hours, count(*) AS n, count(*) FILTER (speed < 5) AS slow FROM rd GROUP BY 1, 2", "rd")
+def sensor_quality_filter(spark, d):
+    r = T.readings(spark, d)
+    return r.groupBy("read_error", F.hour("ts").between(7, 20).alias("in_hours")).agg(F.count("*").alias("n"), F.count(F.when(F.col("speed") < 5, 1)).alias("slow"))
+
+
+# Interval table of time-dependent multipliers (profile, zone, days, start, end, multiplier).
+_INTERVALS = [("driving", "all", "weekday", "07:00", "09:30", 1.4), ("driving", "all", "weekday", "17:00", "20:00", 1.5), ("driving", "all", "all", "00:00", "00:00", 1.0), ("driving", "all", "weekend", "11:00", "14:00", 1.2), ("driving", "zone_0", "all", "20:00", "06:00", 0.9), ("driving", "zone_0", "monday", "08:00", "09:00", 1.7)]
+_INTERVAL_VALUES = ", ".join(f"({k}, '{p}', '{z}', '{w}', '{s}', '{e}', {m}::DOUBLE)" for k, (p, z, w, s, e, m) in enumerate(_INTERVALS))
+
+
+@query(
+    f"""WITH iv(pos, profile, zone, days, s, e, mult) AS (VALUES {_INTERVAL_VALUES}),
+t AS (SELECT *, split_part(s,':',1)::INT*60+split_part(s,':',2)::INT AS a, split_part(e,':',1)::INT*60+split_part(e,':',2)::INT AS b FROM iv),
+x AS (SELECT event_id, 'zone_' || (sensor_id % 3) AS z, lower(dayname(ts)) AS day, isodow(ts) >= 6 AS weekend, hour(ts)*60+minute(ts) AS m FROM rd),
+j AS (SELECT event_id, mult, pos, (zone = z)::INT AS zm, CASE WHEN days = day THEN 3 WHEN days = 'weekend' AND weekend OR days = 'weekday' AND NOT weekend THEN 2 WHEN days = 'all' THEN 1 END AS dp
+ FROM x JOIN t ON zone IN (z, 'all') AND CASE WHEN a = b THEN true WHEN a < b THEN m >= a AND m < b ELSE m >= a OR m < b END),
+r AS (SELECT event_id, mult, row_number() OVER (PARTITION BY event_id ORDER BY zm DESC, dp DESC, pos) AS k FROM j WHERE dp IS NOT NULL)
+SELECT x.event_id, coalesce(mult, 1.0)::DOUBLE AS multiplier FROM x LEFT JOIN r ON r.event_id = x.event_id AND k = 1""",
+    "rd",
+)
+def traffic_interval_priority(spark, d):
+    iv = spark.createDataFrame([(k, *row) for k, row in enumerate(_INTERVALS)], "pos int, profile string, zone string, days string, s string, e string, mult double")
+    iv = iv.withColumn("a", clock.parse_clock(F.col("s"))).withColumn("b", clock.parse_clock(F.col("e")))
+    x = T.readings(spark, d).select("event_id", F.concat(F.lit("zone_"), F.col("sensor_id") % 3).alias("z"), F.lower(F.date_format("ts", "EEEE")).alias("day"), (F.weekday("ts") >= 5).alias("weekend"), clock.minute_of_day(F.col("ts")).alias("m"))
+    fits = F.col("zone").isin("all") | (F.col("zone") == F.col("z"))
+    j = x.join(F.broadcast(iv), fits & clock.in_interval(F.col("m"), F.col("a"), F.col("b")), "left")
+    priority = F.when(F.col("days") == F.col("day"), 3).when(((F.col("days") == "weekend") & F.col("weekend")) | ((F.col("days") == "weekday") & ~F.col("weekend")), 2).when(F.col("days") == "all", 1)
+    rank = F.struct((F.col("zone") == F.col("z")).cast("int").alias("zm"), priority.alias("dp"), (-F.col("pos")).alias("p"))
+    return j.groupBy("event_id").agg(F.coalesce(F.max_by("mult", F.when(priority.isNotNull(), rank)), F.lit(1.0)).alias("multiplier"))
+
+
+# -- spatial ------------------------------------------------------------------
+
+# Rings of (lon, lat) corners; zone_b is concave and overlaps zone_a.
+ZONES = {"zone_a": [(2.15, 41.38), (2.18, 41.38), (2.18, 41.41), (2.15, 41.41)], "zone_b": [(2.17, 41.39), (2.2, 41.39), (2.2, 41.43), (2.185, 41.405), (2.17, 41.43)], "zone_c": [(2.16, 41.41), (2.17, 41.43), (2.15, 41.43)]}
+_ZONE_UNION = " UNION ALL ".join(f"SELECT *, '{z}' AS zone FROM cust WHERE {geo.in_ring_sql('lat', 'lon', ring)}" for z, ring in ZONES.items())
+
+
+@query(f"SELECT customer_id, zone FROM ({_ZONE_UNION})", "cust")
+def zone_points_contains(spark, d):
+    return spatial.zone_of_points(T.customers(spark, d), ZONES).select("customer_id", "zone")
+
+
+@query(f"SELECT c.customer_id, coalesce(z, 'outside') AS zone FROM cust c LEFT JOIN (SELECT customer_id, min(zone) AS z FROM ({_ZONE_UNION}) GROUP BY 1) USING (customer_id)", "cust")
+def zone_attach_first(spark, d):
+    c = T.customers(spark, d)
+    first = F.coalesce(*(F.when(geo.in_ring(F.col("lat"), F.col("lon"), ring), F.lit(z)) for z, ring in sorted(ZONES.items())), F.lit("outside"))
+    return c.select("customer_id", first.alias("zone"))
+
+
+@query(f"SELECT a.zone AS zone_1, b.zone AS zone_2, count(*) AS shared FROM ({_ZONE_UNION}) a JOIN ({_ZONE_UNION}) b ON a.customer_id=b.customer_id AND a.zone<b.zone GROUP BY 1, 2", "cust")
+def zone_overlap(spark, d):
+    z = spatial.zone_of_points(T.customers(spark, d), ZONES).groupBy("customer_id").agg(F.sort_array(F.collect_set("zone")).alias("zs"))
+    pairs = F.expr("flatten(transform(zs, (x, i) -> transform(slice(zs, i + 2, size(zs)), y -> struct(x as zone_1, y as zone_2))))")
+    return z.select(F.explode(pairs).alias("p")).groupBy("p.zone_1", "p.zone_2").agg(F.count("*").alias("shared"))
+
+
+@query(f"SELECT a.facility_id AS id_1, b.facility_id AS id_2, round({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')},3) AS distance_m FROM fac a JOIN fac b ON a.facility_id<b.facility_id WHERE {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 500", "fac")
+def pairs_within_radius(spark, d):
+    p = spatial.pairs_within(T.facilities(spark, d), "facility_id", 500.0)
+    return p.select(F.col("facility_id_1").alias("id_1"), F.col("facility_id_2").alias("id_2"), F.round("distance_m", 3).alias("distance_m"))
+
+
+_NEAR = f"r AS (SELECT c.customer_id, f.facility_id, round({geo.haversine_sql('c.lat', 'c.lon', 'f.lat', 'f.lon')},3) AS distance_m, c.demand FROM cust c, fac f), n AS (SELECT customer_id, min({{'d': distance_m, 'i': facility_id}}) AS b FROM r GROUP BY 1)"
+
+
+@query(f"WITH {_NEAR} SELECT customer_id, b.i AS facility_id, b.d AS distance_m FROM n", "cust fac")
+def nearest_facility(spark, d):
+    return spatial.nearest(T.customers(spark, d), T.facilities(spark, d), "customer_id", "facility_id")
+
+
+@query(f"SELECT a.facility_id, b.facility_id AS other_id, round(min({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}),3) AS distance_m FROM fac a JOIN fac b ON a.company=b.company AND a.facility_id<>b.facility_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.facility_id ORDER BY distance_m, b.facility_id)=1", "fac")
+def nearest_same_company(spark, d):
+    f = T.facilities(spark, d)
+    o = f.select(F.col("facility_id").alias("other_id"), "company", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    j = f.join(o, "company").where("facility_id <> other_id").withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3))
+    return j.groupBy("facility_id").agg(F.min(F.struct("distance_m", "other_id")).alias("b")).select("facility_id", "b.other_id", "b.distance_m")
+
+
+@query(f"WITH {_NEAR} SELECT b.i AS facility_id, count(*) AS customers, sum(demand)::BIGINT AS packages, round(max(b.d),3) AS farthest_m FROM n JOIN cust USING (customer_id) GROUP BY 1", "cust fac")
+def assign_unlimited(spark, d):
+    c = T.customers(spark, d)
+    n = spatial.nearest(c, T.facilities(spark, d), "customer_id", "facility_id")
+    return n.join(c.select("customer_id", "demand"), "customer_id").groupBy("facility_id").agg(F.count("*").alias("customers"), F.sum("demand").alias("packages"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+
+
+@query(f"WITH q AS (SELECT facility_id, {geo.haversine_sql('41.405::DOUBLE', '2.175::DOUBLE', 'lat', 'lon')} AS m FROM fac), k AS (SELECT facility_id, m, row_number() OVER (ORDER BY m, facility_id) AS n FROM q WHERE m<=5000), r AS (SELECT least(5000.0, 500.0+500.0*greatest(0, ceil((coalesce((SELECT m FROM k WHERE n=5),5000.0)-500)/500)))::DOUBLE AS radius_m) SELECT facility_id, round(m,3) AS distance_m, radius_m FROM k, r WHERE m<=radius_m", "fac")
+def facility_buffer_adaptive(spark, d):
+    near = spatial.adaptive_buffer(T.facilities(spark, d), 41.405, 2.175, 500.0, 500.0, 5000.0, 5)
+    return near.select("facility_id", F.round("distance_m", 3).alias("distance_m"), "radius_m")
+
+
+@query("SELECT section, sum(demand)::BIGINT AS packages, round(sum(lat*demand)/sum(demand),6) AS lat, round(sum(lon*demand)/sum(demand),6) AS lon FROM cust GROUP BY 1", "cust")
+def weighted_centroid(spark, d):
+    c = T.customers(spark, d)
+    weighted = [F.round(F.sum(F.col(x) * F.col("demand")) / F.sum("demand"), 6).alias(x) for x in ("lat", "lon")]
+    return c.groupBy("section").agg(F.sum("demand").alias("packages"), *weighted)
+
+
+# -- demand -------------------------------------------------------------------
+
+
+@query("SELECT customer_id, section, count(*) OVER (PARTITION BY section) AS addresses, round((section+1)*100.0::DOUBLE/count(*) OVER (PARTITION BY section),6) AS weight FROM cust", "cust")
+def population_weights(spark, d):
+    n = F.count("*").over(Window.partitionBy("section"))
+    return T.customers(spark, d).select("customer_id", "section", n.alias("addresses"), F.round((F.col("section") + 1) * 100.0 / n, 6).alias("weight"))
+
+
+def _uniform(key, seed: int):
+    """Uniform in (0, 1) from the first 52 bits of an md5."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
+
+
+_UNIFORM = "((('0x'||substr(md5('{seed}:'||customer_id),1,13))::BIGINT + 0.5::DOUBLE)/4503599627370496.0::DOUBLE)"
+
+
+@query(f"SELECT customer_id, row_number() OVER (ORDER BY round(-ln({_UNIFORM.format(seed=7)})/(section+1),12), customer_id)-1 AS position FROM cust QUALIFY position < 100", "cust")
+def sample_weighted(spark, d):
+    """Weighted sampling without replacement: the least of -ln(u) / w."""
+    c = T.customers(spark, d).select("customer_id", F.round(-F.log(_uniform(F.col("customer_id"), 7)) / (F.col("section") + 1), 12).alias("k")).orderBy("k", "customer_id").limit(100)
+    return c.select("customer_id", (F.row_number().over(Window.orderBy("k", "customer_id")) - 1).alias("position"))
+
+
+@query("SELECT customer_id, s.scenario, s.low + floor(" + _UNIFORM.format(seed=11) + "*(s.high-s.low+1))::BIGINT AS demand FROM cust, (VALUES ('low',1,2),('medium',2,5),('high',5,10)) s(scenario,low,high)", "cust")
+def demand_assign(spark, d):
+    s = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(a).alias("low"), F.lit(b).alias("high")) for n, a, b in (("low", 1, 2), ("medium", 2, 5), ("high", 5, 10)))))
+    x = T.customers(spark, d).withColumn("s", s)
+    return x.select("customer_id", "s.scenario", (F.col("s.low") + F.floor(_uniform(F.col("customer_id"), 11) * (F.col("s.high") - F.col("s.low") + 1))).alias("demand"))
+
+
+@query("WITH o AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id)-1 AS p FROM cust), n(size) AS (VALUES (100),(500),(1000)) SELECT size, count(*) AS customers, max(customer_id) AS last_id FROM o, n WHERE p < size GROUP BY 1", "cust")
+def nested_prefix(spark, d):
+    o = T.customers(spark, d).orderBy("customer_id").limit(1000).select("customer_id", (F.row_number().over(Window.orderBy("customer_id")) - 1).alias("p"))
+    return o.select("*", F.explode(F.array(F.lit(100), F.lit(500), F.lit(1000))).alias("size")).where("p < size").groupBy("size").agg(F.count("*").alias("customers"), F.max("customer_id").alias("last_id"))
+
+
+# -- text and coercion --------------------------------------------------------
+
+_NORM = "trim(regexp_replace(translate(upper(replace(coalesce({x},''),'ß','ss')),'" + text.ACCENTED + "','" + text.PLAIN + "'),'[^A-Z0-9]+',' ','g'))"
+
+
+@query(f"SELECT doc_id, {_NORM.format(x='text')} AS normalized FROM documents WHERE lang IN ('en','es')")
+def text_normalize(spark, d):
+    return T.table(spark, d, "documents").where(F.col("lang").isin("en", "es")).select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+@query("SELECT customer_id, list_sort(list_distinct(regexp_extract_all(n, '\\b\\d+\\b'))) AS numbers FROM (SELECT c_custkey AS customer_id, upper(regexp_replace(c_name,'[^A-Za-z0-9]+',' ','g')) || ' ' || (c_custkey%7) AS n FROM customer)")
+def address_numbers(spark, d):
+    name = F.concat_ws(" ", F.col("c_name"), (F.col("c_custkey") % 7).cast("string"))
+    return T.table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), text.address_numbers(name).alias("numbers"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' & ' || p_brand)),'[^a-z0-9]+','_','g'),'^_+|_+$','','g') AS slug FROM part")
+def slugify(spark, d):
+    p = T.table(spark, d, "part")
+    return p.select("p_partkey", text.slugify(F.concat(F.col("p_name"), F.lit(" & "), F.col("p_brand"))).alias("slug"))
+
+
+@query("SELECT n_nationkey, coalesce(nullif(regexp_replace(regexp_replace(lower(CASE WHEN n_nationkey%5=0 THEN '' ELSE n_name || ' (Zona)' END),'[^a-z0-9]+','_','g'),'^_+|_+$','','g'),''),'all') AS zone FROM nation")
+def zone_normalize(spark, d):
+    raw = F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.concat("n_name", F.lit(" (Zona)")))
+    return T.table(spark, d, "nation").select("n_nationkey", text.zone_key(raw).alias("zone"))
+
+
+@query("SELECT o_orderkey, (o_custkey)::VARCHAR AS key FROM orders")
+def customer_id_norm(spark, d):
+    o = T.table(spark, d, "orders")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).otherwise(F.concat(F.lit(" "), F.col("o_custkey").cast("string")))
+    return o.select("o_orderkey", text.customer_key(raw).alias("key"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey%3=0 THEN 'OP'||(1000+s_suppkey) WHEN s_suppkey%3=1 THEN 'OP'||(100000+s_suppkey) END AS branch FROM supplier")
+def branch_id(spark, d):
+    s = T.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("Oficina "), 1000 + k)).when(k % 3 == 1, F.concat(F.lit("Correos "), 100000 + k)).otherwise("sin codigo")
+    return s.select("s_suppkey", text.branch_id(raw).alias("branch"))
+
+
+@query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey%4=0 THEN 'n/a' ELSE o_totalprice::VARCHAR END AS DOUBLE) AS price FROM orders")
+def coerce_numeric(spark, d):
+    raw = F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    return T.table(spark, d, "orders").select("o_orderkey", raw.try_cast("double").alias("price"))
+
+
+@query("SELECT c_custkey, sha256(c_custkey::VARCHAR||'|'||c_name) AS sha, md5(c_name) AS md5 FROM customer")
+def hash_columns(spark, d):
+    return T.table(spark, d, "customer").select("c_custkey", F.sha2(F.concat(F.col("c_custkey").cast("string"), F.lit("|"), "c_name"), 256).alias("sha"), F.md5("c_name").alias("md5"))
+
+
+@query("SELECT code, CASE WHEN code IN (1,2,3,7) THEN 1 WHEN code=5 THEN 2 WHEN code IN (4,6) THEN 3 ELSE 0 END AS grp, count(*) AS n, count(DISTINCT company) AS companies FROM fac GROUP BY 1", "fac")
+def service_classify(spark, d):
+    return T.facilities(spark, d).groupBy("code", resolution.service_group(F.col("code")).alias("grp")).agg(F.count("*").alias("n"), F.countDistinct("company").alias("companies"))
+
+
+_BANDS = [10, 20, 30, 40]
+
+
+@query("SELECT load, CASE WHEN load<10 THEN 0 WHEN load<20 THEN 1 WHEN load<30 THEN 2 WHEN load<40 THEN 3 ELSE 4 END AS band_left, CASE WHEN load<=10 THEN 0 WHEN load<=20 THEN 1 WHEN load<=30 THEN 2 WHEN load<=40 THEN 3 ELSE 4 END AS band_right, count(*) AS n FROM st GROUP BY ALL", "st")
+def bands(spark, d):
+    """Bands closed on the left, and on the right."""
+    left = sum(((F.col("load") >= b).cast("int") for b in _BANDS), F.lit(0))
+    right = sum(((F.col("load") > b).cast("int") for b in _BANDS), F.lit(0))
+    return T.stops(spark, d).groupBy("load", left.alias("band_left"), right.alias("band_right")).agg(F.count("*").alias("n"))
+
+
+# -- entity resolution --------------------------------------------------------
+
+
+@query(f"SELECT a.facility_id AS id_1, b.facility_id AS id_2, CASE WHEN ga=gb AND ga>0 AND st THEN 'cluster: strong text' WHEN NOT (ga=gb AND ga>0) AND st THEN 'separate: other group' WHEN ga=gb AND ga>0 AND m<=15 THEN 'cluster: close' WHEN ga=gb AND ga>0 AND m<=30 THEN 'manual review' WHEN ga=gb AND ga>0 THEN 'other location' ELSE 'no relation' END AS rule FROM (SELECT *, CASE WHEN code IN (1,2,3,7) THEN 1 WHEN code=5 THEN 2 WHEN code IN (4,6) THEN 3 ELSE 0 END AS ga FROM fac) a JOIN (SELECT *, CASE WHEN code IN (1,2,3,7) THEN 1 WHEN code=5 THEN 2 WHEN code IN (4,6) THEN 3 ELSE 0 END AS gb FROM fac) b ON a.facility_id<b.facility_id, LATERAL (SELECT {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, a.company=b.company AS st) WHERE m<=1500", "fac")
+def pair_rules(spark, d):
+    p = spatial.pairs_within(T.facilities(spark, d), "facility_id", 1500.0)
+    g1, g2 = resolution.service_group(F.col("code_1")), resolution.service_group(F.col("code_2"))
+    rule = resolution.classify_pair((g1 == g2) & (g1 > 0), F.col("company_1") == F.col("company_2"), F.col("distance_m"))
+    return p.select(F.col("facility_id_1").alias("id_1"), F.col("facility_id_2").alias("id_2"), rule.alias("rule"))
+
+
+@query(f"WITH RECURSIVE e AS (SELECT a.facility_id AS a, b.facility_id AS b FROM fac a JOIN fac b ON a.facility_id<>b.facility_id WHERE {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=300), r AS (SELECT facility_id AS x, facility_id AS y FROM fac UNION SELECT x, b FROM r JOIN e ON y=a) SELECT x AS facility_id, min(y) AS component FROM r GROUP BY 1".replace("WITH RECURSIVE e", "WITH e"), "fac")
+def connected_components(spark, d):
+    f = T.facilities(spark, d)
+    e = spatial.pairs_within(f, "facility_id", 300.0).select(F.col("facility_id_1").alias("a"), F.col("facility_id_2").alias("b"))
+    return resolution.connected(f.select(F.col("facility_id").alias("node")), e).select(F.col("node").alias("facility_id"), "component")
+
+
+_SQL["connected_components"] = _SQL["connected_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("SELECT company, count(*) AS records, count(DISTINCT code) AS services, string_agg(DISTINCT code::VARCHAR, '|' ORDER BY code::VARCHAR) AS codes, min(facility_id) AS first_id, bool_or(code=0) AS review FROM fac GROUP BY 1", "fac")
+def cluster_summary(spark, d):
+    codes = F.array_join(F.sort_array(F.collect_set(F.col("code").cast("string"))), "|")
+    return T.facilities(spark, d).groupBy("company").agg(F.count("*").alias("records"), F.countDistinct("code").alias("services"), codes.alias("codes"), F.min("facility_id").alias("first_id"), F.bool_or(F.col("code") == 0).alias("review"))
+
+
+@query(f"SELECT a.company, round(max({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}),3) AS diameter_m FROM fac a JOIN fac b ON a.company=b.company GROUP BY 1", "fac")
+def cluster_diameter(spark, d):
+    f = T.facilities(spark, d)
+    o = f.select("company", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return f.join(o, "company").groupBy("company").agg(F.round(F.max(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))), 3).alias("diameter_m"))
+
+
+@query("SELECT route_id, line, customer_id, facility_id, load, row_number() OVER (PARTITION BY route_id, line ORDER BY customer_id, facility_id, load, price, day) AS copy_no FROM st", "st")
+def exact_duplicates(spark, d):
+    return resolution.first_of(T.stops(spark, d), ["route_id", "line"], ["customer_id", "facility_id", "load", "price", "day"]).select("route_id", "line", "customer_id", "facility_id", "load", "copy_no")
+
+
+@query("SELECT company, code, count(*) AS n FROM fac GROUP BY 1, 2", "fac")
+def company_type_counts(spark, d):
+    return T.facilities(spark, d).groupBy("company", "code").agg(F.count("*").alias("n"))
+
+
+@query()
+def text_similarity(spark, d):
+    f = T.facilities(spark, d)
+    p = spatial.pairs_within(f, "facility_id", 500.0)
+    return p.select("facility_id_1", "facility_id_2", resolution.text_similarity("name_1", "name_2").alias("similarity"))
+
+
+# -- routes, costs and audit --------------------------------------------------
+
+_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY line, customer_id, facility_id, load, price, day) AS position FROM st)"
+
+
+def _positions(spark, d):
+    return T.stops(spark, d).withColumn("position", F.row_number().over(Window.partitionBy("route_id").orderBy("line", "customer_id", "facility_id", "load", "price", "day")))
+
+
+@query(f"WITH {_ORDERED} SELECT route_id, position, round(sum(km) OVER (PARTITION BY route_id ORDER BY position),6) AS km_upto, round(sum(load) OVER (PARTITION BY route_id ORDER BY position),6) AS load_upto FROM o", "st")
+def route_offsets_running(spark, d):
+    w = Window.partitionBy("route_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return _positions(spark, d).select("route_id", "position", F.round(F.sum("km").over(w), 6).alias("km_upto"), F.round(F.sum("load").over(w), 6).alias("load_upto"))
+
+
+@query(f"WITH {_ORDERED}, a AS (SELECT route_id, position, abs(load - lag(load,1,0) OVER (PARTITION BY route_id ORDER BY position)) AS arc FROM o) SELECT route_id, count(*) AS stops, round(sum(arc),6) AS cost FROM a GROUP BY 1", "st")
+def route_cost_arcs(spark, d):
+    before = F.lag("load", 1, 0).over(Window.partitionBy("route_id").orderBy("position"))
+    return _positions(spark, d).select("route_id", F.abs(F.col("load") - before).alias("arc")).groupBy("route_id").agg(F.count("*").alias("stops"), F.round(F.sum("arc"), 6).alias("cost"))
+
+
+@query(f"WITH {_ORDERED} SELECT route_id, string_agg(customer_id::VARCHAR, ' -> ' ORDER BY position) AS sequence, count(*) AS stops FROM o GROUP BY 1", "st")
+def stop_sequence_roundtrip(spark, d):
+    joined = _positions(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("position", "customer_id"))).alias("s"))
+    sequence = F.array_join(F.transform("s", lambda x: x["customer_id"].cast("string")), " -> ")
+    return joined.select("route_id", sequence.alias("sequence"), F.size(F.split(sequence, " -> ")).cast("bigint").alias("stops"))
+
+
+@query(f"WITH {_ORDERED} SELECT route_id, position, customer_id, CASE WHEN position=1 THEN 'facility' ELSE 'customer' END AS stop_type FROM o", "st")
+def route_stops_explode(spark, d):
+    packed = _positions(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("position", "customer_id"))).alias("s"))
+    out = packed.select("route_id", F.posexplode("s").alias("p", "x"))
+    return out.select("route_id", (F.col("p") + 1).alias("position"), "x.customer_id", F.when(F.col("p") == 0, "facility").otherwise("customer").alias("stop_type"))
+
+
+@query("WITH s AS (SELECT facility_id, sum(load) AS q FROM st GROUP BY 1), v AS (SELECT facility_id, q, unnest(range(1, ceil(q/200)::BIGINT+1)) AS k FROM s) SELECT facility_id, k AS visit, least(200.0, q-(k-1)*200)::DOUBLE AS load FROM v", "st")
+def supply_visits(spark, d):
+    s = T.stops(spark, d).groupBy("facility_id").agg(F.sum("load").alias("q"))
+    v = s.withColumn("visit", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("q") / 200))))
+    return v.select("facility_id", "visit", F.least(F.lit(200.0), F.col("q") - (F.col("visit") - 1) * 200).alias("load"))
+
+
+@query(f"SELECT a.facility_id AS i, b.facility_id AS j, round({geo.haversine_sql('a.lat', 'a.lon', '41.4::DOUBLE', '2.17::DOUBLE')}+{geo.haversine_sql('41.4::DOUBLE', '2.17::DOUBLE', 'b.lat', 'b.lon')}-{geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')},3) AS saving FROM fac a JOIN fac b ON a.company=b.company AND a.facility_id<>b.facility_id", "fac")
+def savings_table(spark, d):
+    f = T.facilities(spark, d)
+    o = f.select("company", F.col("facility_id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    depot = (F.lit(41.4), F.lit(2.17))
+    saving = geo.haversine_m(F.col("lat"), F.col("lon"), *depot) + geo.haversine_m(*depot, F.col("lat2"), F.col("lon2")) - geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return f.join(o, "company").where("facility_id <> j").select(F.col("facility_id").alias("i"), "j", F.round(saving, 3).alias("saving"))
+
+
+@query("SELECT section, greatest(ceil(sum(demand)/60.0), ceil(count(*)/floor((480-10)/5.0)))::BIGINT AS least_routes FROM cust GROUP BY 1", "cust")
+def route_lower_bound(spark, d):
+    return T.customers(spark, d).groupBy("section").agg(F.greatest(F.ceil(F.sum("demand") / 60.0), F.ceil(F.count("*") / F.floor(F.lit((480 - 10) / 5.0)))).cast("bigint").alias("least_routes"))
+
+
+@query("SELECT customer_id, round((customer_id%90)*2/1000.0::DOUBLE/5*60,6) AS walk_min, round((customer_id%90)/1000.0::DOUBLE/15*60,6) AS bike_min FROM cust", "cust")
+def last_meter_penalty(spark, d):
+    snap = (F.col("customer_id") % 90).cast("double")
+    return T.customers(spark, d).select("customer_id", F.round(cost.last_metre_minutes(snap, 5.0), 6).alias("walk_min"), F.round(cost.last_metre_minutes(snap, 15.0, False), 6).alias("bike_min"))
+
+
+_AUDIT = "c AS (SELECT c_custkey AS id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1), a AS (SELECT id, n, CASE WHEN id%17=0 THEN 'unroutable' WHEN n=0 THEN 'unassigned' WHEN n=1 THEN 'assigned' ELSE 'duplicated' END AS status FROM c)"
+
+
+def _audit(spark, d):
+    counts = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when(F.col("id") % 17 == 0, "unroutable").when(F.col("n") == 0, "unassigned").when(F.col("n") == 1, "assigned").otherwise("duplicated")
+    return c.withColumn("status", status)
+
+
+@query(f"WITH {_AUDIT} SELECT id, n, status FROM a")
+def audit_customers(spark, d):
+    return _audit(spark, d).select("id", "n", "status")
+
+
+@query(f"WITH {_AUDIT} SELECT status, count(*) AS customers, sum(n)::BIGINT AS visits FROM a GROUP BY 1")
+def audit_summary(spark, d):
+    return _audit(spark, d).groupBy("status").agg(F.count("*").alias("customers"), F.sum("n").alias("visits"))
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_totalprice > 400000) USING (c_custkey)")
+def unroutable_anti(spark, d):
+    o = T.table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return T.table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+
+
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+def except_ids(spark, d):
+    return T.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).subtract(T.table(spark, d, "orders").select(F.col("o_custkey")))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS flag FROM supplier UNION ALL SELECT c_custkey, c_name, NULL, 'candidate' FROM customer WHERE c_custkey%50=0")
+def union_candidates(spark, d):
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    c = T.table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("candidate").alias("flag"))
+    return s.unionByName(c, allowMissingColumns=True)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def topn_snap(spark, d):
+    return T.table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)<=3")
+def routes_limit_per_model(spark, d):
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return T.table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("k")).where("k <= 3").drop("k")
+
+
+@query("SELECT facility_id, count(*) AS stops, count(DISTINCT route_id) AS routes, round(sum(load),6) AS load, max(day) AS available_at FROM st GROUP BY 1", "st")
+def facility_available_at(spark, d):
+    return T.stops(spark, d).groupBy("facility_id").agg(F.count("*").alias("stops"), F.countDistinct("route_id").alias("routes"), F.round(F.sum("load"), 6).alias("load"), F.max("day").alias("available_at"))
+
+
+_PLAN = "p AS (SELECT facility_id, sum(km) AS km, sum(minutes) AS minutes, count(DISTINCT route_id) AS routes, sum(load) AS packages FROM st GROUP BY 1)"
+
+
+@query(f"WITH {_PLAN} SELECT facility_id, round(km*0.25+greatest(0.0,minutes-routes*10.0)/60*12,6) AS m1, round(km*0.30+greatest(0.0,minutes-routes*10.0)/60*12,6) AS m2, round(km*0.42+greatest(0.0,minutes-routes*10.0)/60*12+packages*0.28,6) AS m3, round(greatest(0.0,minutes-routes*10.0)/60*12+packages*0.35,6) AS m4, round(packages*0.35,6) AS m5 FROM p", "st")
+def cost_models(spark, d):
+    p = T.stops(spark, d).groupBy("facility_id").agg(F.sum("km").alias("km"), F.sum("minutes").alias("minutes"), F.countDistinct("route_id").alias("routes"), F.sum("load").alias("packages"))
+    return p.select("facility_id", *(F.round(c, 6).alias(m) for m, c in models.plan_costs(F.col("km"), F.col("minutes"), F.col("routes"), F.col("packages")).items()))
+
+
+@query("WITH p AS (SELECT route_id, max(day) AS ended, min(day) AS began, count(*) AS stops FROM st GROUP BY 1) SELECT year(began)::INT AS year, count(*) AS routes, count(*) FILTER (date_diff('day', began, ended)>365) AS late, max(date_diff('day', began, ended))::INT AS longest_days FROM p GROUP BY 1", "st")
+def timeline_metrics(spark, d):
+    p = T.stops(spark, d).groupBy("route_id").agg(F.max("day").alias("ended"), F.min("day").alias("began"))
+    days = F.datediff("ended", "began")
+    return p.groupBy(F.year("began").alias("year")).agg(F.count("*").alias("routes"), F.count(F.when(days > 365, 1)).alias("late"), F.max(days).alias("longest_days"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice),2) AS total FROM orders GROUP BY 1,2")
+def status_rollup(spark, d):
+    return T.table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# -- kernels (rows only) ------------------------------------------------------
+
+
+def _problems(spark, d):
+    c = T.customers(spark, d).withColumn("problem_id", F.floor(F.col("customer_id") / 40).cast("bigint"))
+    return c.select("problem_id", F.col("customer_id").alias("client_id"), "lat", "lon", "demand", F.lit(41.405).alias("depot_lat"), F.lit(2.175).alias("depot_lon"))
+
+
+@query()
+def routes_cws(spark, d):
+    return routing.solve(_problems(spark, d))
+
+
+@query()
+def routes_ils(spark, d):
+    return routing.solve(_problems(spark, d), improve=True)
+
+
+@query()
+def models_compare(spark, d):
+    return models.compare(routing.solve(_problems(spark, d)), T.customers(spark, d))
