@@ -1,7 +1,7 @@
 """Packing documents into sequences along a Hilbert curve.
 
-Each document's word hashes are summed into a few dimensions by random signs,
-scaled to a normal spread and placed on a grid; the grid cell's index along
+Each document's hashed byte trigrams are summed into a few dimensions by
+random signs, scaled and placed on a grid; the grid cell's index along
 the Hilbert curve is its key. Documents are range-sorted by (key, doc_id) and
 cut as one stream into sequences of ``size`` tokens, so a sequence holds
 neighbours of the curve. What is left at the end of a partition is cut into
@@ -20,7 +20,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,29 +57,17 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class _Signs(dict):
-    """word -> its random signs, packed as the low bits of a hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, seed=7) & ((1 << DIMS) - 1)
-        return value
-
-
-_signs = _Signs()
-
-
 def curve_keys(texts: list[bytes]) -> np.ndarray:
-    points = np.zeros((len(texts), DIMS))
+    """Hilbert keys of vectors of hashed byte trigrams, projected by random signs. Texts under three bytes are the origin."""
+    seen = np.zeros((len(texts), 1 << DIMS))
     for k, text in enumerate(texts):
-        words = text.split()
-        if words:
-            seen = np.bincount(np.fromiter(map(_signs.__getitem__, words), dtype=np.uint8, count=len(words)), minlength=1 << DIMS)
-            corners = np.arange(1 << DIMS)
-            for d in range(DIMS):
-                points[k, d] = np.dot(seen, 1 - 2 * ((corners >> d) & 1)) / np.sqrt(len(words))
-    share = 1 / (1 + np.exp(-1.702 * np.clip(points, -30, 30)))  # close to the normal distribution function
+        x = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+        if len(x) > 2:
+            grams = (x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+            seen[k] = np.bincount(grams >> np.uint32(32 - DIMS), minlength=1 << DIMS) / len(grams)
+    corners = np.arange(1 << DIMS)
+    signs = np.stack([1 - 2 * ((corners >> d) & 1) for d in range(DIMS)], axis=1)
+    share = 1 / (1 + np.exp(-20 * (seen @ signs)))  # spreads the usual range over the grid
     return hilbert_index(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
@@ -100,7 +87,7 @@ class WordTokenizer:
         if len(self.known) >= CACHE_ENTRIES:
             self.known = {"": b""}
         known = self.known
-        new = list(set(chain.from_iterable(split)) - known.keys())
+        new = [w for w in set(chain.from_iterable(split)) if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

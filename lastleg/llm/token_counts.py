@@ -76,7 +76,7 @@ class TrieCounter:
         split = [t.split() for t in texts]
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        new = set().union(*split) - self.known.keys()
+        new = {w for w in set().union(*split) if w not in self.known}
         self.known.update(self.learn(new))
         get = self.known.__getitem__
         return [len(w) for w in split], [sum(map(get, w)) for w in split]
