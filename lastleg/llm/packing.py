@@ -15,6 +15,7 @@ need. Empty tables give no pieces. A null doc_id stays null.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import CACHE_ENTRIES, map_batches, partitions, texts_of, to_batch
+from lastleg.llm.common import map_batches, partitions, texts_of, to_batch
 
 DIMS, BITS = 4, 10
+#: Words whose ids a worker remembers, about 200 bytes each, before it starts anew.
+KNOWN_WORDS = 1_000_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,14 +87,14 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids with the end id. The file's pre-tokens end at white space, so a word's ids don't depend on its neighbours."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) >= CACHE_ENTRIES:
+        if len(self.known) >= KNOWN_WORDS:
             self.known = {"": b""}
         known = self.known
         new = [w for w in set(chain.from_iterable(split)) if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
+                known[word] = array("I", got.ids).tobytes()
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
 
 
