@@ -6,7 +6,7 @@ from lastleg.streaming import profile as P
 def test_windows_over_a_stream(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     source.write.parquet(str(tmp_path / "in"))
-    stream = P.windowed_profile(P.deduplicated(P.read_events(spark, str(tmp_path / "in"), source.schema)))
+    stream = P.windowed_profile(P.deduplicated(P.read_events(spark, str(tmp_path / "in"), source.schema)), late=None)
     job = stream.writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     job.awaitTermination(120)
     total = spark.table("w").agg(F.sum("n")).first()[0]
