@@ -15,7 +15,9 @@ to a spanning forest of the best estimates; after verification, blocks that
 still hold several components are compared once more, all their full sets at
 once by a matrix product, and give one link for each two components they join.
 Bands with more classes than a block holds are dealt into blocks by a hash
-that differs from band to band.
+that differs from band to band. Where such a band still holds several
+components after that, each class outside its largest component is compared
+with every class of the band, cell by cell of two blocks, so no link is lost.
 
 Texts that are null, empty or without words have no set and are linked with
 nothing. Repeated rows (one id, equal sets) are one class. A null id is linked
@@ -243,6 +245,63 @@ def _links_across(bands: DataFrame, similarity: float) -> DataFrame:
     return _dealt(bands).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _cells(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, rep, component, outside): cells in which each class outside its band's largest component meets all classes of the band.
+
+    ``large`` holds (band, size, rep). Both sides are dealt into parts of half a
+    block by a hash, so no task holds a band. Bands of one component give none.
+    """
+    marked = large.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = marked.groupBy("band", "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"))
+    mixed = marked.join(most, "band").where(F.col("most.n") < F.col("size")).withColumn("outside", F.col("component") != F.col("most.component"))
+    half = BLOCK // 2
+    parts, parts_out = F.ceil(F.col("size") / half), F.ceil((F.col("size") - F.col("most.n")) / half)
+    own, own_out = (F.pmod(F.xxhash64("rep", "band", F.lit(side)), n) for side, n in enumerate((parts, parts_out)))
+    columns = ["rep", "component", "outside"]
+    every = mixed.select("band", *columns, own.alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts_out - 1)).alias("q")).withColumn("outside", F.lit(False))
+    outer = mixed.where("outside").select("band", *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("p"), own_out.alias("q"))
+    return every.unionByName(outer).select(F.xxhash64("band", "p", "q").alias("key"), *columns)
+
+
+def _likely_ends(cells: DataFrame, similarity: float) -> DataFrame:
+    """Ids of the classes in likely pairs of two components, from rows (key, rep, component, outside, n, regs)."""
+
+    def run(batches):
+        for table in _groups(batches):
+            regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+            keys, reps, sizes, comps, outside = (table[c].to_numpy() for c in ("key", "rep", "n", "component", "outside"))
+            found: set[int] = set()
+            for s, e in _spans(keys):
+                for i in np.flatnonzero(outside[s:e]) + s:
+                    j = np.flatnonzero(comps[s:e] != comps[i]) + s
+                    if len(j):
+                        j = j[may_link(regs, sizes, np.full(len(j), i), j, similarity) >= similarity - SLACK]
+                    if len(j):
+                        found.add(int(reps[i]))
+                        found.update(reps[j].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), type=pa.int64())], names=["rep"])
+
+    return _dealt(cells).mapInArrow(run, "rep bigint").distinct()
+
+
+def _full_sets(plain: DataFrame, ends: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(rep, members) of the classes whose ids ``ends`` (rep) names; repeated rows give repeated rows."""
+
+    def run(batch: pa.RecordBatch):
+        ids, whole = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "whole"))
+        rep, members = [], []
+        for doc, text, key in zip(ids, texts_of(batch), whole, strict=True):
+            own = shingle_set(text, words).astype("<u8").tobytes()
+            if xxhash.xxh3_128_digest(own) == key:  # a repeated id may have other texts too
+                rep.append(doc)
+                members.append(own)
+        yield {"rep": rep, "members": members}
+
+    named = ends.join(classes.select("rep", "whole"), "rep").withColumnRenamed("rep", "doc_id")
+    return map_batches(plain.join(named, "doc_id").select("doc_id", "text", "whole"), run, "rep bigint, members binary", rows=500)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     percent = round(100 * similarity)
     first, second = (sets.select(F.col("rep").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
@@ -273,23 +332,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     shared = slim.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # a band with more classes than a block holds is dealt into blocks, in another way for each band
     block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / BLOCK))).otherwise(0)
-    members = work.table(slim.join(shared, "key").select(F.xxhash64("key", block).alias("key"), "rep"), "members")
+    band = F.when(F.col("size") > BLOCK, F.col("key"))
+    dealt = work.table(slim.join(shared, "key").select(F.xxhash64("key", block).alias("key"), "rep", band.alias("band"), "size"), "members")
+    members, large = dealt.select("key", "rep"), dealt.where("band is not null").select("band", "size", "rep")
     with_regs = members.join(classes.select("rep", "n", "regs"), "rep")
 
     found = work.table(_candidates(with_regs, similarity), "candidates")
-    ends = found.where("a = b").select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id"), "whole"), "doc_id")
-
-    def full(batch: pa.RecordBatch):
-        ids, whole = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "whole"))
-        rep, members = [], []
-        for doc, text, key in zip(ids, texts_of(batch), whole, strict=True):
-            own = shingle_set(text, words).astype("<u8").tobytes()
-            if xxhash.xxh3_128_digest(own) == key:  # a repeated id may have other texts too
-                rep.append(doc)
-                members.append(own)
-        yield {"rep": rep, "members": members}
-
-    sets = work.table(map_batches(plain.join(ends, "doc_id").select("doc_id", "text", "whole"), full, "rep bigint, members binary", rows=500), "sets")
+    ends = found.where("a = b").select(F.col("a").alias("rep")).distinct()
+    sets = work.table(_full_sets(plain, ends, classes, words), "sets")
     if sets.count() > sets.select("rep").distinct().count():  # rows that repeat an id
         sets = work.table(sets.dropDuplicates(["rep"]), "sets")
 
@@ -301,7 +351,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     again = apart.join(mixed, "key").join(sets, "rep").select("key", "rep", "component", "members")
     more = work.table(_links_across(again, similarity), "links")
     if more.limit(1).count():
-        linked = work.table(components(links.unionByName(more), work), "components")
+        links = links.unionByName(more)
+        linked = work.table(components(links, work), "components")
+
+    if large.limit(1).count():
+        cells = work.table(_cells(large, linked), "cells")
+        ends = work.table(_likely_ends(cells.join(classes.select("rep", "n", "regs"), "rep"), similarity), "ends")
+        if ends.limit(1).count():
+            lacking = ends.join(sets.select("rep"), "rep", "left_anti")
+            both = sets.join(ends, "rep", "left_semi").unionByName(_full_sets(plain, lacking, classes, words).dropDuplicates(["rep"]))
+            across = work.table(_links_across(cells.drop("outside").join(both, "rep").select("key", "rep", "component", "members"), similarity), "links")
+            if across.limit(1).count():
+                linked = work.table(components(links.unionByName(across), work), "components")
 
     own = sketches.join(classes.select("whole", "rep"), "whole", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

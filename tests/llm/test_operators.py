@@ -117,6 +117,41 @@ def test_near_duplicates(spark, odd_texts):
     assert kept.columns == make(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    """Blocks of two classes: links across the blocks of a band are found by the cells."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    texts = []
+    for g in range(3):  # chains: neighbours are linked, the ends are not
+        w = words(120, 40 + g, 5000)
+        for k in range(12):
+            w[6 * k : 6 * k + 6] = [f"g{g}k{k}n{n}" for n in range(6)]
+            texts.append(" ".join(w))
+    random.Random(5).shuffle(texts)
+    sets = [set(near_dedup.shingle_set(t.encode(), 2).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(make(spark, texts), words=2).collect()}
+    assert [got[i] for i in range(len(sets))] == label and len(set(label)) == 3
+
+
+def test_cells_meet_every_outsider(spark, monkeypatch):
+    """Each class outside the largest component shares a cell with every other class of its band."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    large = spark.createDataFrame([(7, 40, i) for i in range(40)] + [(8, 10, i) for i in range(10)], "band bigint, size bigint, rep bigint")
+    linked = spark.createDataFrame([(i, 0) for i in range(25)], "node bigint, component bigint")
+    rows = near_dedup._cells(large, linked).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault(r.key, set()).add(r.rep)
+    met = {(a, b) for own in cells.values() for a in own for b in own}
+    assert all((a, b) in met for a in range(25, 40) for b in range(40))
+    assert max(map(len, cells.values())) < 40 and {r.rep for r in rows if r.outside} == set(range(25, 40))
+
+
 def test_block_links_join_what_is_linked():
     base = np.arange(100, dtype=np.uint64)
     sets = [base, np.concatenate((base[:95], base[:3] + np.uint64(1000))), base + np.uint64(5000)]
