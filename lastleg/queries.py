@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lastleg.functions import clock, cost, geo, text
-from lastleg.operators import profile, resolution, routing, spatial
+from lastleg.operators import assignment, profile, resolution, routing, spatial
 from lastleg.plans import models
 from lastleg.sources import tables as T
 
@@ -213,9 +213,9 @@ def nested_prefix(spark, d):
 _NORM = "trim(regexp_replace(translate(upper(replace(coalesce({x},''),'ß','ss')),'" + text.ACCENTED + "','" + text.PLAIN + "'),'[^A-Z0-9]+',' ','g'))"
 
 
-@query(f"SELECT doc_id, {_NORM.format(x='text')} AS normalized FROM documents WHERE lang IN ('en','es')")
+@query(f"SELECT doc_id, {_NORM.format(x='text')} AS normalized FROM documents")
 def text_normalize(spark, d):
-    return T.table(spark, d, "documents").where(F.col("lang").isin("en", "es")).select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return T.table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query("SELECT customer_id, list_sort(list_distinct(regexp_extract_all(n, '\\b\\d+\\b'))) AS numbers FROM (SELECT c_custkey AS customer_id, upper(regexp_replace(c_name,'[^A-Za-z0-9]+',' ','g')) || ' ' || (c_custkey%7) AS n FROM customer)")
@@ -466,6 +466,146 @@ def status_rollup(spark, d):
     return T.table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+# -- assignment, plans and exports --------------------------------------------
+
+# Distribution centres (name, lat, lon) and static profiles (profile, city, multiplier).
+CENTRES = [("north", 41.43, 2.16), ("port", 41.36, 2.17), ("river", 41.41, 2.21), ("west", 41.39, 2.11)]
+STATIC = [("driving", "all", 1.2), ("driving", "SPAIN", 1.35), ("driving", "FRANCE", 1.1), ("cycling", "all", 1.05), ("cycling", "SPAIN", 1.0)]
+
+
+@query("WITH x AS (SELECT customer_id, least(" + ", ".join(f"{{'m': round({geo.haversine_sql(f'{y}::DOUBLE', f'{x}::DOUBLE', 'lat', 'lon')}*1.3::DOUBLE+{geo.haversine_sql(f'{y}::DOUBLE', f'{x}::DOUBLE', 'lat', 'lon')}*1.4::DOUBLE,3), 'name': '{n}'}}" for n, y, x in CENTRES) + ") AS b FROM cust) SELECT customer_id, b.name AS centre, b.m AS way_m FROM x", "cust")
+def center_select_bidirectional(spark, d):
+    best = assignment.best_centre(F.col("lat"), F.col("lon"), CENTRES)
+    return T.customers(spark, d).select("customer_id", best.alias("b")).select("customer_id", F.col("b.name").alias("centre"), F.col("b.m").alias("way_m"))
+
+
+@query("WITH p(profile, city, mult) AS (VALUES " + ", ".join(f"('{a}', '{c}', {m}::DOUBLE)" for a, c, m in STATIC) + ") SELECT n_nationkey, profile, max_by(mult, CASE WHEN city='all' THEN 0 ELSE 1 END) AS multiplier FROM nation JOIN p ON city IN ('all', n_name) GROUP BY 1, 2")
+def static_profile_pick(spark, d):
+    """A city's own row goes before the row for all; the table of profiles is a short literal."""
+    rows = F.array(*(F.struct(F.lit(a).alias("profile"), F.lit(c).alias("city"), F.lit(m).alias("mult")) for a, c, m in STATIC))
+    n = T.table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(rows).alias("p")).where((F.col("p.city") == "all") | (F.col("p.city") == F.col("n_name")))
+    return n.groupBy("n_nationkey", "p.profile").agg(F.max_by("p.mult", F.when(F.col("p.city") == "all", 0).otherwise(1)).alias("multiplier"))
+
+
+@query()
+def assign_capacity(spark, d):
+    return assignment.assign_capacity(T.customers(spark, d), T.facilities(spark, d), 120.0)
+
+
+_SCORE = "CASE WHEN m<=5 THEN 40 WHEN m<=10 THEN 30 WHEN m<=20 THEN 20 WHEN m<=30 THEN 10 ELSE 0 END + CASE WHEN same THEN 30 ELSE 0 END + CASE WHEN sim>=90 THEN 20 WHEN sim>=75 THEN 10 ELSE 0 END + CASE WHEN sim>=90 THEN 10 WHEN sim>=75 THEN 5 ELSE 0 END"
+_PAIRS = f"q AS (SELECT a.facility_id AS id_1, b.facility_id AS id_2, {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, a.company=b.company AS same, 100.0::DOUBLE*(1-levenshtein(a.name, b.name)/greatest(length(a.name), length(b.name))::DOUBLE) AS sim FROM fac a JOIN fac b ON a.facility_id<b.facility_id)"
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, ({_SCORE})::INT AS score FROM q WHERE m<=1500) SELECT id_1, id_2, score, CASE WHEN NOT same THEN 'Co-location / nearby competitors' WHEN score>=80 THEN 'Very probable duplicate' WHEN score>=60 THEN 'Probable duplicate' WHEN score>=45 THEN 'Manual review' ELSE 'Nearby same company' END AS label FROM r", "fac")
+def duplicate_score(spark, d):
+    p = spatial.pairs_within(T.facilities(spark, d), "facility_id", 1500.0)
+    longest = F.greatest(F.length("name_1"), F.length("name_2")).cast("double")
+    similar = 100.0 * (1 - F.levenshtein("name_1", "name_2") / longest)
+    same = F.col("company_1") == F.col("company_2")
+    score = resolution.duplicate_score(F.col("distance_m"), same, similar, similar)
+    return p.select(F.col("facility_id_1").alias("id_1"), F.col("facility_id_2").alias("id_2"), score.alias("score"), resolution.duplicate_label(same, score).alias("label"))
+
+
+@query("SELECT facility_id, upper(left(n_name, 3)) || '_LOC_' || lpad((dense_rank() OVER (PARTITION BY n_name ORDER BY f.lat, f.lon))::VARCHAR, 6, '0') AS location FROM fac f JOIN nation ON n_nationkey=company", "fac")
+def cluster_numbering(spark, d):
+    """Numbers within a city, in the order of the places."""
+    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("company"), "n_name")
+    rank = F.dense_rank().over(Window.partitionBy("n_name").orderBy("lat", "lon"))
+    return T.facilities(spark, d).join(n, "company").select("facility_id", F.format_string("%s_LOC_%06d", F.upper(F.substring("n_name", 1, 3)), rank).alias("location"))
+
+
+@query("WITH c AS (SELECT company, code, min(facility_id) AS i FROM fac GROUP BY 1, 2) SELECT company, min(i) AS id_final, string_agg(code::VARCHAR, ' + ' ORDER BY i) AS codes, sum(CASE code WHEN 1 THEN 60 WHEN 2 THEN 120 WHEN 3 THEN 120 WHEN 4 THEN 500 WHEN 5 THEN 300 WHEN 6 THEN 500 WHEN 7 THEN 120 ELSE 0 END)::BIGINT AS capacity FROM c GROUP BY 1", "fac")
+def cluster_merge(spark, d):
+    """Distinct codes in the order they first appear, and the capacity they give; a code is one row, so a list holds eight at most."""
+    c = T.facilities(spark, d).groupBy("company", "code").agg(F.min("facility_id").alias("i"))
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("i", "code"))), lambda x: x["code"].cast("string"))
+    return c.groupBy("company").agg(F.min("i").alias("id_final"), F.array_join(codes, " + ").alias("codes"), F.sum(resolution.capacity(F.col("code"))).alias("capacity"))
+
+
+@query(f"WITH {_ORDERED} SELECT route_id, 'LINESTRING (' || string_agg(printf('%.6f %.6f', 2.15+((customer_id*104729)%1000)::DOUBLE/20000.0::DOUBLE, 41.38+((customer_id*7919)%1000)::DOUBLE/20000.0::DOUBLE), ', ' ORDER BY position) || ')' AS wkt FROM o GROUP BY 1", "st")
+def wkt_linestring(spark, d):
+    s = _positions(spark, d).select("route_id", "position", T._spread("customer_id", 104729, 2.15).alias("x"), T._spread("customer_id", 7919, 41.38).alias("y"))
+    points = F.transform(F.sort_array(F.collect_list(F.struct("position", "x", "y"))), lambda p: F.format_string("%.6f %.6f", p["x"], p["y"]))
+    return s.groupBy("route_id").agg(F.concat(F.lit("LINESTRING ("), F.array_join(points, ", "), F.lit(")")).alias("wkt"))
+
+
+_CELLS = "cells AS (SELECT facility_id AS problem_id, line::BIGINT AS o, customer_id%20 AS d, load>45 AS bad FROM st), ends AS (SELECT problem_id, unnest([o, d]) AS point, bad FROM cells), n AS (SELECT problem_id, count(DISTINCT point) AS n FROM ends GROUP BY 1)"
+
+
+@query(f"WITH {_CELLS}, c AS (SELECT problem_id, point, count(*) AS cells, count(*) FILTER (bad) AS invalid FROM ends GROUP BY 1, 2) SELECT problem_id, point, cells, invalid, point<>0 AND invalid >= greatest(10, floor(0.25*n)) AS excluded FROM c JOIN n USING (problem_id)", "st")
+def matrix_validity(spark, d):
+    """Invalid cells of each point, in and out; points at the threshold go, the depot (0) never."""
+    cells = T.stops(spark, d).select(F.col("facility_id").alias("problem_id"), F.explode(F.array(F.col("line").cast("bigint"), F.col("customer_id") % 20)).alias("point"), (F.col("load") > 45).alias("bad"))
+    c = cells.groupBy("problem_id", "point").agg(F.count("*").alias("cells"), F.count(F.when(F.col("bad"), 1)).alias("invalid"))
+    n = F.count("*").over(Window.partitionBy("problem_id"))
+    return c.select("problem_id", "point", "cells", "invalid", ((F.col("point") != 0) & (F.col("invalid") >= F.greatest(F.lit(10), F.floor(n * F.lit(0.25))))).alias("excluded"))
+
+
+@query(f"WITH {_ORDERED} SELECT o.route_id, o.position, coalesce(c.lat, f.lat) AS lat, coalesce(c.lon, f.lon) AS lon, CASE WHEN c.lat IS NOT NULL THEN 'demand' WHEN f.lat IS NOT NULL THEN 'gazetteer' ELSE 'unknown' END AS found FROM o LEFT JOIN cust c ON c.customer_id=o.customer_id LEFT JOIN fac f ON f.facility_id=o.facility_id", "st cust fac")
+def stop_resolution(spark, d):
+    """Coordinates of stops from the demand table, else from the gazetteer of facilities."""
+    c = T.customers(spark, d).select("customer_id", F.col("lat").alias("y1"), F.col("lon").alias("x1"))
+    f = T.facilities(spark, d).select("facility_id", F.col("lat").alias("y2"), F.col("lon").alias("x2"))
+    found = F.when(F.col("y1").isNotNull(), "demand").when(F.col("y2").isNotNull(), "gazetteer").otherwise("unknown")
+    s = _positions(spark, d).select("route_id", "position", "customer_id", "facility_id").join(c, "customer_id", "left").join(f, "facility_id", "left")
+    return s.select("route_id", "position", F.coalesce("y1", "y2").alias("lat"), F.coalesce("x1", "x2").alias("lon"), found.alias("found"))
+
+
+@query("SELECT r_regionkey, unnest([11, 23, 37]) + r_regionkey AS demand_seed, unnest([101, 102, 103]) AS search_seed FROM region")
+def seed_zip(spark, d):
+    pairs = F.arrays_zip(F.array(F.lit(11), F.lit(23), F.lit(37)).alias("a"), F.array(F.lit(101), F.lit(102), F.lit(103)).alias("b"))
+    r = T.table(spark, d, "region").select("r_regionkey", F.explode(pairs).alias("p"))
+    return r.select("r_regionkey", (F.col("p.a") + F.col("r_regionkey")).alias("demand_seed"), F.col("p.b").alias("search_seed"))
+
+
+@query("SELECT company, arg_min(lat, facility_id) AS lat, arg_min(lon, facility_id) AS lon, count(*) AS records, sum(q)::DOUBLE AS load FROM fac JOIN (SELECT facility_id, sum(load) AS q FROM st GROUP BY 1) USING (facility_id) GROUP BY 1", "fac st")
+def facility_summary_used(spark, d):
+    """Used facilities by name: the first one's place, how many, and their load."""
+    used = T.stops(spark, d).groupBy("facility_id").agg(F.sum("load").alias("q"))
+    return T.facilities(spark, d).join(used, "facility_id").groupBy("company").agg(F.min_by("lat", "facility_id").alias("lat"), F.min_by("lon", "facility_id").alias("lon"), F.count("*").alias("records"), F.sum("q").alias("load"))
+
+
+_ENDS = "e AS (SELECT facility_id, route_id, 540 + 10 + sum(minutes) + 5*count(*) AS finish FROM st GROUP BY 1, 2)"
+
+
+@query(f"WITH {_ENDS} SELECT facility_id, round(max(finish),6) AS last_service, count(*) FILTER (finish > 570) AS after_cutoff, count(*) FILTER (finish > 575) AS after_shift, round(greatest(0, max(finish)-575),6)::DOUBLE AS overtime, bool_and(finish <= 575) AS feasible FROM e GROUP BY 1", "st")
+def last_service_metrics(spark, d):
+    """Ends of service against a shift that ends at 575 with a margin of 5 minutes."""
+    e = T.stops(spark, d).groupBy("facility_id", "route_id").agg((550 + F.sum("minutes") + 5 * F.count("*")).alias("finish"))
+    late = lambda at: F.count(F.when(F.col("finish") > at, 1))
+    return e.groupBy("facility_id").agg(F.round(F.max("finish"), 6).alias("last_service"), late(570).alias("after_cutoff"), late(575).alias("after_shift"), F.round(F.greatest(F.lit(0.0), F.max("finish") - 575), 6).alias("overtime"), F.every(F.col("finish") <= 575).alias("feasible"))
+
+
+@query("SELECT route_id, facility_id, min(line)::INT AS first_line, count(*) AS visits FROM st GROUP BY 1, 2", "st")
+def plan_metrics_dedup(spark, d):
+    """One row for each plan (route and depot)."""
+    return T.stops(spark, d).groupBy("route_id", "facility_id").agg(F.min("line").cast("int").alias("first_line"), F.count("*").alias("visits"))
+
+
+@query(f"""WITH {_ORDERED}, t AS (SELECT route_id, 0::BIGINT AS position, 550.0::DOUBLE AS clock FROM o WHERE position=1
+UNION ALL SELECT t.route_id, o.position, clock + minutes*(CASE WHEN clock<560 THEN 1.4 WHEN clock<580 THEN 1.2 ELSE 1.0 END)::DOUBLE + 5 FROM t JOIN o ON o.route_id=t.route_id AND o.position=t.position+1)
+SELECT route_id, round(max(clock),6) AS finish, max(position) AS stops FROM t GROUP BY 1""", "st")
+def timeline_fold(spark, d):
+    """Clock along a route: each arc takes its minutes times the multiplier of the time it starts; service is 5 minutes."""
+    step = lambda t, x: t + x["minutes"] * F.when(t < 560, 1.4).when(t < 580, 1.2).otherwise(1.0) + 5
+    s = _positions(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("position", "minutes"))).alias("s"))
+    return s.select("route_id", F.round(F.aggregate("s", F.lit(550.0), step), 6).alias("finish"), F.size("s").cast("bigint").alias("stops"))
+
+
+_SQL["timeline_fold"] = _SQL["timeline_fold"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+# A catalogue with every rate set.
+CATALOGUE = {"km": 0.25, "hour": 12.0, "commission": 0.28, "facility": 30.0, "warehouse": 100.0, "package": 0.05, "vehicle": 15.0, "facility_capex": 4.0, "vehicle_capex": 8.0, "customer_hour": 9.0, "kg": 0.08}
+
+
+@query(f"WITH {_PLAN} SELECT facility_id, round(km*0.25,6) AS distance, round(greatest(0.0,minutes-routes*10.0)/60*12,6) AS labour, round(30.0+100.0+packages*0.05+routes*15.0+(4.0+routes*8.0)+packages*6.0/60*9+km*0.18*0.08,6) AS other, round(km*0.25+greatest(0.0,minutes-routes*10.0)/60*12+packages*0.28+30.0+100.0+packages*0.05+routes*15.0+(4.0+routes*8.0)+packages*6.0/60*9+km*0.18*0.08,6) AS total FROM p", "st")
+def cost_components(spark, d):
+    p = T.stops(spark, d).groupBy("facility_id").agg(F.sum("km").alias("km"), F.sum("minutes").alias("minutes"), F.countDistinct("route_id").alias("routes"), F.sum("load").alias("packages"))
+    plan = {c: F.col(c) for c in ("km", "minutes", "routes", "packages")} | {"facilities": F.lit(1), "customer_minutes": F.col("packages") * 6.0, "co2_kg": F.col("km") * 0.18}
+    got = cost.components(plan, CATALOGUE)
+    return p.select("facility_id", *(F.round(got[c], 6).alias(c) for c in ("distance", "labour", "other", "total")))
+
+
 # -- kernels (rows only) ------------------------------------------------------
 
 

@@ -30,3 +30,11 @@ def test_two_opt_on_a_directed_matrix():
     better = R.two_opt(route, minutes)
     assert sorted(better) == route
     assert R.route_minutes(better, minutes, 0, 0) <= R.route_minutes(route, minutes, 0, 0)
+
+
+def test_greedy_assignment_keeps_to_the_capacity():
+    from lastleg.operators.assignment import greedy_capacity
+
+    metres = np.array([[1.0, 2.0], [1.0, 2.0], [1.0, np.nan], [3.0, 4.0]])
+    assert greedy_capacity(metres, np.array([2.0, 2.0, 2.0, 2.0]), 4.0).tolist() == [0, 0, 1, 1]
+    assert greedy_capacity(metres, np.array([5.0, 4.0, 4.0, 1.0]), 4.0).tolist() == [-1, 0, 1, -1]
