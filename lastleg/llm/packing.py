@@ -14,6 +14,7 @@ need. Empty tables give no pieces. A null doc_id stays null.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from functools import lru_cache
@@ -80,6 +81,7 @@ class WordTokenizer:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads cost more than they bring
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {"": b""}
