@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -93,10 +92,12 @@ class WordTokenizer:
             self.known = {"": b""}
         known = self.known
         new = [w for w in set(chain.from_iterable(split)) if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = array("I", got.ids).tobytes()
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(got.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(got.word_ids, np.arange(len(part) + 1))).tolist()
+            for word, begin, end in zip(part, ends, ends[1:], strict=False):
+                known[word] = ids[begin:end]
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
 
 
