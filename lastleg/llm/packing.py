@@ -14,10 +14,7 @@ need. Empty tables give no pieces. A null doc_id stays null.
 
 from __future__ import annotations
 
-import os
 import zlib
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastleg.llm.common import map_batches, partitions, texts_of, to_batch
+from lastleg.llm.word_bpe import word_tokenizer
 
 DIMS, BITS = 4, 10
-#: Words whose ids a worker remembers, about 200 bytes each, before it starts anew.
-KNOWN_WORDS = 1_000_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -74,38 +70,6 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     return hilbert_index(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-class WordTokenizer:
-    """Ids of a ``tokenizers`` file. Words between plain spaces and line ends are encoded once and remembered."""
-
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads cost more than they bring
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids with the end id. The file's pre-tokens end at white space, so a word's ids don't depend on its neighbours."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) >= KNOWN_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
-        for at in range(0, len(new), 500):
-            part = new[at : at + 500]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(got.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(got.word_ids, np.arange(len(part) + 1))).tolist()
-            for word, begin, end in zip(part, ends, ends[1:], strict=False):
-                known[word] = ids[begin:end]
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
-
-
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str, end_id: int) -> WordTokenizer:
-    return WordTokenizer(path, end_id)
-
-
 def tail_sizes(left: int) -> list[int]:
     """Powers of two that sum to ``left``, largest first."""
     return [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
