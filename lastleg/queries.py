@@ -627,3 +627,6 @@ def routes_ils(spark, d):
 @query()
 def models_compare(spark, d):
     return models.compare(routing.solve(_problems(spark, d)), T.customers(spark, d))
+
+
+from lastleg import matrix_queries  # noqa: E402, F401  registers its queries
