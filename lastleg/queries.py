@@ -146,9 +146,7 @@ def nearest_facility(spark, d):
 @query(f"SELECT a.facility_id, b.facility_id AS other_id, round(min({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}),3) AS distance_m FROM fac a JOIN fac b ON a.company=b.company AND a.facility_id<>b.facility_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.facility_id ORDER BY distance_m, b.facility_id)=1", "fac")
 def nearest_same_company(spark, d):
     f = T.facilities(spark, d)
-    o = f.select(F.col("facility_id").alias("other_id"), "company", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    j = f.join(o, "company").where("facility_id <> other_id").withColumn("distance_m", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3))
-    return j.groupBy("facility_id").agg(F.min(F.struct("distance_m", "other_id")).alias("b")).select("facility_id", "b.other_id", "b.distance_m")
+    return spatial.nearest(f, f, "facility_id", "facility_id", by=("company",), other=True)
 
 
 @query(f"WITH {_NEAR} SELECT b.i AS facility_id, count(*) AS customers, sum(demand)::BIGINT AS packages, round(max(b.d),3) AS farthest_m FROM n JOIN cust USING (customer_id) GROUP BY 1", "cust fac")
@@ -307,9 +305,7 @@ def cluster_summary(spark, d):
 
 @query(f"SELECT a.company, round(max({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}),3) AS diameter_m FROM fac a JOIN fac b ON a.company=b.company GROUP BY 1", "fac")
 def cluster_diameter(spark, d):
-    f = T.facilities(spark, d)
-    o = f.select("company", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return f.join(o, "company").groupBy("company").agg(F.round(F.max(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))), 3).alias("diameter_m"))
+    return spatial.diameters(T.facilities(spark, d), "company").select("company", F.round("diameter_m", 3).alias("diameter_m"))
 
 
 @query("SELECT route_id, line, customer_id, facility_id, load, row_number() OVER (PARTITION BY route_id, line ORDER BY customer_id, facility_id, load, price, day) AS copy_no FROM st", "st")
@@ -371,13 +367,14 @@ def supply_visits(spark, d):
     return v.select("facility_id", "visit", F.least(F.lit(200.0), F.col("q") - (F.col("visit") - 1) * 200).alias("load"))
 
 
-@query(f"SELECT a.facility_id AS i, b.facility_id AS j, round({geo.haversine_sql('a.lat', 'a.lon', '41.4::DOUBLE', '2.17::DOUBLE')}+{geo.haversine_sql('41.4::DOUBLE', '2.17::DOUBLE', 'b.lat', 'b.lon')}-{geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')},3) AS saving FROM fac a JOIN fac b ON a.company=b.company AND a.facility_id<>b.facility_id", "fac")
+@query(f"SELECT a.facility_id AS i, b.facility_id AS j, round({geo.haversine_sql('a.lat', 'a.lon', '41.4::DOUBLE', '2.17::DOUBLE')}+{geo.haversine_sql('41.4::DOUBLE', '2.17::DOUBLE', 'b.lat', 'b.lon')}-{geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')},3) AS saving FROM fac a JOIN fac b ON a.facility_id//40=b.facility_id//40 AND a.facility_id<>b.facility_id", "fac")
 def savings_table(spark, d):
-    f = T.facilities(spark, d)
-    o = f.select("company", F.col("facility_id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    """The savings of all ordered pairs of a routing problem, which has 40 clients at most."""
+    f = T.facilities(spark, d).withColumn("problem", F.floor(F.col("facility_id") / 40))
+    o = f.select("problem", F.col("facility_id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     depot = (F.lit(41.4), F.lit(2.17))
     saving = geo.haversine_m(F.col("lat"), F.col("lon"), *depot) + geo.haversine_m(*depot, F.col("lat2"), F.col("lon2")) - geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return f.join(o, "company").where("facility_id <> j").select(F.col("facility_id").alias("i"), "j", F.round(saving, 3).alias("saving"))
+    return f.join(o, "problem").where("facility_id <> j").select(F.col("facility_id").alias("i"), "j", F.round(saving, 3).alias("saving"))
 
 
 @query("SELECT section, greatest(ceil(sum(demand)/60.0), ceil(count(*)/floor((480-10)/5.0)))::BIGINT AS least_routes FROM cust GROUP BY 1", "cust")
