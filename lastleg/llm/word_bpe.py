@@ -18,8 +18,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Words (and, apart from them, pre-tokens) whose ids a worker remembers, about 200 bytes each, before it starts anew.
-KNOWN_WORDS = 1_000_000
+#: Words and pre-tokens whose ids a worker remembers, about 200 bytes each, before it starts anew.
+KNOWN_WORDS, KNOWN_PIECES = 600_000, 400_000
 #: Bytes of the longest pre-token that is merged in NumPy.
 LONGEST = 48
 #: Characters that lower-casing and NFC treat alike in Python and in the library.
@@ -137,7 +137,7 @@ class WordTokenizer:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) >= KNOWN_WORDS:
             self.known = {"": b""}
-        if len(self.pieces) >= KNOWN_WORDS:
+        if len(self.pieces) >= KNOWN_PIECES:
             self.pieces = {"\n": b""}
         known = self.known
         new = [w for w in set(chain.from_iterable(split)) if w not in known]

@@ -39,5 +39,6 @@ def test_other_files_go_to_the_library():
 
 def test_memory_starts_anew(monkeypatch):
     monkeypatch.setattr("lastleg.llm.word_bpe.KNOWN_WORDS", 10)
+    monkeypatch.setattr("lastleg.llm.word_bpe.KNOWN_PIECES", 7)
     words, some = WordTokenizer(PATH, 1), texts()[:600]
     assert [words.encode([t])[0] for t in some] == expected(words.tokenizer, some)
