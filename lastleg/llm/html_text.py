@@ -1,18 +1,20 @@
 """Main text of web pages by wrappers, union-free regular expressions of token streams.
 
-A page becomes a stream of tags and text slots. Streams of one host are
-aligned one after another: repeats are folded into X+, what one side lacks
-becomes an optional group X?, and texts become slots. The result, the host's
-wrapper, has no alternatives. Each slot has the path of its open elements and
-a role: slots in menus, footers, adverts and the like are boilerplate, and so
-are slots outside an article that hold the same text on every page. A page's
-text slots take their role from the wrapper of its host; slots that the
-wrapper doesn't have take it from their path alone.
-
-At most ``sample`` pages of a host, chosen by a hash of the id, make its
-wrapper; every page is extracted whole. Null and empty pages have empty text.
-Null urls share one host, the empty one. Repeated rows give equal rows; other
-columns are ignored.
+A page becomes a stream of tags and text slots. The different streams of all
+pages of a host are aligned one after another: repeats are folded into X+,
+what one side lacks becomes an optional group X?, and texts become slots. The
+result, the host's wrapper, has no alternatives and accepts every page of the
+host. Each page is matched against it, so that each of its texts has a
+position in the wrapper. A position whose texts are the same on all pages that
+have it, three different pages at least, is the host's boilerplate, in an
+article or out of it; a block is left out when all its texts are boilerplate.
+Slots in menus, footers, adverts and the like are left out by their path. A
+page of which nothing would stay keeps what its paths allow.
+
+Streams and texts of every page count, whatever the host's size. Pages count
+as different by their texts outside menus, footers and adverts. Null and empty
+pages have empty text. Null urls share one host, the empty one. Repeated rows
+give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +23,23 @@ import html as entities
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import Written, map_batches
+from lastleg.llm.common import Written, map_batches, to_batch
 
-SAMPLE = 8
-#: Characters of wrappers, and number of sampled ids, up to which they are broadcast; beyond it they are joined by shuffles.
-BROADCAST_CHARS, BROADCAST_IDS = 8_000_000, 100_000
-#: Tags of a sampled page that are aligned; slots beyond it still get their role by path. Bounds the quadratic alignment.
-ALIGNED_TOKENS = 600
+#: Characters of wrappers up to which they are broadcast; beyond it they are joined by shuffles.
+BROADCAST_CHARS = 8_000_000
+#: Different pages that a position must have before equal texts make it boilerplate.
+LEAST_PAGES = 3
+#: Parts of a host whose streams are aligned on their own first, by a hash of the stream.
+PARTS = 16
+#: Entries that a worker's tables may hold before they are emptied or passed on.
+HELD = 20_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -106,16 +113,21 @@ def tokens_of(page: str) -> list[tuple[str, str, str]]:
 # -- wrapper inference -------------------------------------------------------
 
 
-def stream_of(tokens: list[tuple[str, str, str]]) -> list:
-    """Symbols of a page: "+tag", "-tag", and ("#", path) for a slot that holds text."""
+def stream_of(tokens: list[tuple[str, str, str]]) -> tuple[list, list[int]]:
+    """Symbols of a page: "+tag", "-tag", and ("#", path) for a slot that holds text; and each token's slot in them, or -1."""
     out: list = []
+    places: list[int] = []
     for kind, value, path in tokens:
+        place = -1
         if kind == "text":
-            if value.strip() and (not out or out[-1] != ("#", path)):
-                out.append(("#", path))
+            if value.strip():
+                if not out or out[-1] != ("#", path):
+                    out.append(("#", path))
+                place = len(out) - 1
         elif kind != "gap":
             out.append(("+" if kind == "open" else "-") + path.rpartition("/")[2])
-    return out
+        places.append(place)
+    return out, places
 
 
 def fold(symbols: list) -> list:
@@ -158,53 +170,154 @@ def fold(symbols: list) -> list:
     return symbols
 
 
-def _bare(symbol):
-    """A symbol without its optional mark, and X for X+ of one symbol."""
-    while isinstance(symbol, tuple) and symbol[0] == "?" and len(symbol[1]) == 1:
-        symbol = symbol[1][0]
-    if isinstance(symbol, tuple) and symbol[0] == "+" and len(symbol[1]) == 1:
-        return symbol[1][0]
-    return symbol
+def _parts(symbol) -> tuple:
+    """(X, optional, repeated) of X, X?, X+ and their nestings."""
+    optional = repeated = False
+    while isinstance(symbol, tuple) and symbol[0] != "#" and len(symbol[1]) == 1:
+        optional, repeated, symbol = optional or symbol[0] == "?", repeated or symbol[0] == "+", symbol[1][0]
+    return symbol, optional, repeated
+
+
+def _lift(symbols: list, other: list) -> list:
+    """``symbols`` with X Y replaced by (X Y)+ where ``other`` has that."""
+    for group in sorted({x for x in (_parts(s)[0] for s in other) if isinstance(x, tuple) and x[0] == "+"}, key=lambda x: (-len(x[1]), repr(x))):
+        inner, out, at = list(group[1]), [], 0
+        while at < len(symbols):
+            if symbols[at] == inner[0] and symbols[at : at + len(inner)] == inner:
+                if not out or out[-1] != group:
+                    out.append(group)
+                at += len(inner)
+            else:
+                out.append(symbols[at])
+                at += 1
+        symbols = out
+    return symbols
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, by the bits of the rows of its table."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    mask = (1 << len(b)) - 1
+    row, rows = mask, []
+    for x in a:
+        met = row & at.get(x, 0)
+        row = ((row + met) | (row - met)) & mask
+        rows.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def align(wrapper: list, sample: list) -> list:
     """The least wrapper for both: common parts stay, mismatches become optional or repeated groups."""
-    n, m = len(wrapper), len(sample)
-    a, b = [_bare(x) for x in wrapper], [_bare(x) for x in sample]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    wrapper, sample = _lift(wrapper, sample), _lift(sample, wrapper)
+    a, b = [_parts(x) for x in wrapper], [_parts(x) for x in sample]
     out, i, j = [], 0, 0
 
-    def optional(symbol):
-        return symbol if isinstance(symbol, tuple) and symbol[0] == "?" else ("?", (symbol,))
-
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            x, y = wrapper[i], sample[j]
-            repeated = any(isinstance(s, tuple) and s[0] == "+" for s in (x, y))
-            either = any(isinstance(s, tuple) and s[0] == "?" for s in (x, y))
-            core = ("+", (a[i],)) if repeated and not (isinstance(a[i], tuple) and a[i][0] == "+") else a[i]
-            out.append(("?", (core,)) if either else core)
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(optional(wrapper[i]))
-            i += 1
-        else:
-            out.append(optional(sample[j]))
-            j += 1
+    def put(core, optional: bool, repeated: bool) -> None:
+        core = ("+", (core,)) if repeated and not (isinstance(core, tuple) and core[0] == "+") else core
+        out.append(("?", (core,)) if optional else core)
+
+    for x, y in [*common([p[0] for p in a], [p[0] for p in b]), (len(a), len(b))]:
+        for core, _, repeated in a[i:x] + b[j:y]:
+            put(core, True, repeated)
+        if x < len(a):
+            put(a[x][0], a[x][1] or b[y][1], a[x][2] or b[y][2])
+        i, j = x + 1, y + 1
     return fold(out)
 
 
-def slots_of(wrapper) -> set[str]:
-    """Paths of a wrapper's text slots."""
-    found: set[str] = set()
-    for s in wrapper:
-        if isinstance(s, tuple):
-            found |= {s[1]} if s[0] == "#" else slots_of(s[1])
-    return found
+def merge(streams: list[str]) -> str:
+    """The wrapper of streams or wrappers, all as JSON; their order doesn't matter."""
+    wrapper: list | None = None
+    for text in sorted(set(streams), key=lambda t: (len(t), t)):
+        stream = read(text)
+        wrapper = stream if wrapper is None else align(wrapper, stream)
+    return written(wrapper or [])
+
+
+def written(symbols: list) -> str:
+    return json.dumps(symbols, ensure_ascii=False, separators=(",", ":"))
+
+
+def read(text: str) -> list:
+    def tuples(x):
+        return tuple(map(tuples, x)) if isinstance(x, list) else x
+
+    return list(map(tuples, json.loads(text)))
+
+
+class Matcher:
+    """Positions of a page's symbols in a wrapper: its automaton, entering groups rather than passing them by."""
+
+    def __init__(self, wrapper: list):
+        self.symbol: list = []
+        self.out: list[list[int]] = []
+        self.met: dict[tuple, list[int]] = {}
+        self.start = self._build(wrapper, self._node("", []))
+
+    def _node(self, symbol, out: list[int]) -> int:
+        self.symbol.append(symbol)
+        self.out.append(out)
+        return len(self.out) - 1
+
+    def _build(self, symbols, after: int) -> int:
+        for s in reversed(symbols):
+            if not isinstance(s, tuple) or s[0] == "#":
+                after = self._node(s, [after])
+            elif s[0] == "?":
+                after = self._node(None, [self._build(s[1], after), after])
+            else:
+                again = self._node(None, [])
+                entry = self._build(s[1], again)
+                self.out[again] += [entry, after]
+                after = entry
+        return after
+
+    def _next(self, node: int, symbol) -> list[int]:
+        key = (node, symbol)
+        if key not in self.met:
+            if len(self.met) >= HELD:
+                self.met.clear()
+            stack, seen, found = [node], set(), []
+            while stack:
+                n = stack.pop()
+                if n not in seen:
+                    seen.add(n)
+                    if self.symbol[n] is None:
+                        stack += self.out[n][::-1]
+                    elif self.symbol[n] == symbol:
+                        found.append(n)
+            self.met[key] = found
+        return self.met[key]
+
+    def positions(self, symbols: list) -> list[int] | None:
+        """A position for each symbol; None if the wrapper doesn't accept them."""
+        now, steps = [-1], []
+        for s in symbols:
+            step: dict[int, int] = {}
+            for n in now:
+                for m in self._next(self.out[n][0] if n >= 0 else self.start, s):
+                    step.setdefault(m, n)
+            steps.append(step)
+            now = list(step)
+        last = [n for n in now if self._next(self.out[n][0] if n >= 0 else self.start, "")]
+        if not last:
+            return None
+        out, n = [], last[0]
+        for step in reversed(steps):
+            out.append(n)
+            n = step[n]
+        return out[::-1]
 
 
 def dropped_by_path(path: str) -> bool:
@@ -223,26 +336,50 @@ def in_article(path: str) -> bool:
     return any(_name(s) in ("article", "main") or ".main" in s or ".article" in s or ".articlebody" in s for s in path.split("/"))
 
 
+def texts_by_position(page: str, matcher: Matcher) -> dict[int, str]:
+    """What a page has at each position of its host's wrapper, without slots dropped by their path."""
+    tokens = tokens_of(page)
+    symbols, places = stream_of(tokens)
+    at = matcher.positions(symbols)
+    found: dict[int, list[str]] = {}
+    good: dict[str, bool] = {}
+    for (_, value, path), place in zip(tokens, places, strict=True):
+        if at is not None and place >= 0:
+            if path not in good:
+                good[path] = not dropped_by_path(path)
+            if good[path]:
+                found.setdefault(at[place], []).append(" ".join(value.split()))
+    return {n: "\x1f".join(v) for n, v in found.items()}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class Tally:
+    """For each host and position: least and greatest hash of its text, and the least hashes of different pages, as many as matter."""
+
+    def __init__(self):
+        self.rows: dict[tuple[str, int], tuple[int, int, list[int]]] = {}
+
+    def add(self, host: str, texts: dict[int, str]) -> None:
+        page = _hash("\x1e".join(t for _, t in sorted(texts.items())))
+        for n, text in texts.items():
+            value = _hash(text)
+            low, high, pages = self.rows.get((host, n), (value, value, []))
+            if page not in pages:
+                pages = sorted([*pages, page])[:LEAST_PAGES]
+            self.rows[host, n] = (min(low, value), max(high, value), pages)
+
+
 def infer(pages: list[str]) -> dict:
-    """A host's wrapper: its slots' roles by path, and the expression itself."""
-    wrapper: list = []
-    texts: dict[str, list[set[str]]] = {}
-    for n, page in enumerate(pages):
-        tokens = tokens_of(page)
-        folded = fold(stream_of(tokens)[:ALIGNED_TOKENS])
-        wrapper = folded if n == 0 else align(wrapper, folded)
-        here: dict[str, set[str]] = {}
-        for kind, value, path in tokens:
-            if kind == "text" and value.strip():
-                here.setdefault(path, set()).add(" ".join(value.split()))
-        for path, values in here.items():
-            texts.setdefault(path, []).append(values)
-    roles = {}
-    for path in slots_of(wrapper):
-        seen = texts.get(path, [])
-        same = len(pages) >= 3 and len(seen) == len(pages) and all(v == seen[0] for v in seen) and len(set(pages)) > 1
-        roles[path] = not dropped_by_path(path) and (in_article(path) or not same)
-    return {"roles": roles, "expression": render(wrapper)}
+    """The wrapper of one host's pages, its boilerplate positions, and the expression."""
+    wrapper = read(merge([written(fold(stream_of(tokens_of(p))[0])) for p in pages if p]))
+    matcher, tally = Matcher(wrapper), Tally()
+    for p in pages:
+        tally.add("", texts_by_position(p, matcher))
+    constant = {n for (_, n), (low, high, different) in tally.rows.items() if low == high and len(different) >= LEAST_PAGES}
+    return {"wrapper": wrapper, "constant": constant, "expression": render(wrapper)}
 
 
 def render(wrapper) -> str:
@@ -257,36 +394,42 @@ def render(wrapper) -> str:
     return "".join(out)
 
 
-def main_text(page: str, roles: dict[str, bool], known: dict[str, tuple[bool, bool]] | None = None) -> str:
+def main_text(page: str, matcher: Matcher | None = None, constant: frozenset[int] | set[int] = frozenset(), known: dict[str, tuple[bool, bool]] | None = None) -> str:
     """Blocks of the content slots, in page order, joined by an empty line."""
     known = {} if known is None else known
     tokens = tokens_of(page)
-    kept: list[tuple[str, str, bool]] = []
+    places, at = [-1] * len(tokens), None
+    if matcher is not None and constant:
+        symbols, places = stream_of(tokens)
+        at = matcher.positions(symbols)
     any_article = False
     for kind, value, path in tokens:
-        role = known.get(path)
-        if role is None:
-            role = known[path] = (roles.get(path, not dropped_by_path(path)), in_article(path))
-        kept.append((kind, value, role[0]))
-        any_article = any_article or (role[0] and role[1] and kind == "text" and bool(value.strip()))
-    blocks, now = [], []
+        if path not in known:
+            known[path] = (not dropped_by_path(path), in_article(path))
+        any_article = any_article or (known[path] == (True, True) and kind == "text" and bool(value.strip()))
+    blocks: list[tuple[str, bool]] = []
+    now: list[str] = []
+    own = [False]  # whether the block has a text that isn't boilerplate
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, own[0]))
         now.clear()
+        own[0] = False
 
-    for (kind, value, good), (_, _, path) in zip(kept, tokens, strict=True):
+    for (kind, value, path), place in zip(tokens, places, strict=True):
         if kind == "text":
-            if good and (not any_article or known[path][1]):
+            good, inside = known[path]
+            if good and (not any_article or inside):
                 now.append(value)
+                own[0] = own[0] or (bool(value.strip()) and (at is None or at[place] not in constant))
         elif kind == "gap":
             now.append(" ")
         elif value in BLOCK:
             end()
     end()
-    return "\n\n".join(blocks)
+    return "\n\n".join([t for t, other in blocks if other] or [t for t, _ in blocks])
 
 
 # -- Spark -------------------------------------------------------------------
@@ -296,42 +439,107 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, roles, expression): one wrapper for each host, roles as JSON."""
-    ids = pages.select("host", "page_id").where(F.col("page_id").isNotNull()).withColumn("h", F.xxhash64("page_id"))
-    # least hashes of each host: first in 32 parts of it, so that a large host isn't one task's
-    part = Window.partitionBy("host", F.pmod("h", F.lit(32))).orderBy("h", "page_id")
-    whole = Window.partitionBy("host").orderBy("h", "page_id")
-    chosen = ids.withColumn("n", F.row_number().over(part)).where(F.col("n") <= sample).withColumn("n", F.row_number().over(whole)).where(F.col("n") <= sample).select("page_id").distinct()
-    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    taken = pages.join(F.broadcast(chosen) if few else chosen, "page_id", "left_semi").select("host", "page_id", "html").dropDuplicates(["host", "page_id"])
-
-    def of_host(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["page_id"].to_pylist(), table["html"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
-        got = infer([r[1] or "" for r in rows[:sample]])
-        return pa.table({"host": [table["host"][0].as_py()], "roles": [json.dumps(got["roles"], sort_keys=True)], "expression": [got["expression"]]})
-
-    return taken.groupBy("host").applyInArrow(of_host, "host string, roles string, expression string")
-
-
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(wrapper: str) -> Matcher:
+    """One automaton for each worker and wrapper, a bounded number of them."""
+    if wrapper not in _matchers:
+        if len(_matchers) >= 200:
+            _matchers.clear()
+        _matchers[wrapper] = Matcher(read(wrapper))
+    return _matchers[wrapper]
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper): the wrapper of all pages of each host, as JSON."""
+    import pyspark.sql.types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(T.StructType.fromDDL("host string, stream string"))
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded: dict[tuple, str] = {}
+        met: set[tuple[str, str]] = set()
+        for batch in batches:
+            new = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                symbols = tuple(stream_of(tokens_of(page or ""))[0])
+                if not symbols:
+                    continue
+                if len(folded) >= HELD:
+                    folded.clear()
+                if symbols not in folded:
+                    folded[symbols] = written(fold(list(symbols)))
+                key = (host, folded[symbols])
+                if key not in met:
+                    if len(met) >= HELD:
+                        met.clear()
+                    met.add(key)
+                    new.append(key)
+            yield to_batch({"host": [h for h, _ in new], "stream": [t for _, t in new]}, target)
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"host": [table["host"][0].as_py()], "stream": [merge(table["stream"].to_pylist())]})
+
+    different = pages.select("host", "html").mapInArrow(streams, "host string, stream string").distinct()
+    parts = different.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS))).groupBy("host", "part").applyInArrow(merged, "host string, stream string")
+    return parts.groupBy("host").applyInArrow(merged, "host string, stream string").withColumnRenamed("stream", "wrapper")
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(host, constant): positions of boilerplate from every row of (host, wrapper, html); hosts without any are absent."""
+    import pyspark.sql.types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = "host string, position int, low bigint, high bigint, pages array<bigint>"
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def out() -> pa.RecordBatch:
+            rows = [(h, n, *v) for (h, n), v in tally.rows.items()]
+            tally.rows.clear()
+            return to_batch({f.name: [r[k] for r in rows] for k, f in enumerate(target)}, target)
+
+        for batch in batches:
+            for host, wrapper, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if page and wrapper:
+                    tally.add(host, texts_by_position(page, matcher_of(wrapper)))
+                if len(tally.rows) >= HELD:
+                    yield out()
+        yield out()
+
+    rows = pages.select("host", "wrapper", "html").mapInArrow(count, schema)
+    # a task gives a position few rows, so lists are as long as there are tasks
+    seen = rows.groupBy("host", "position").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("n"))
+    return seen.where((F.col("low") == F.col("high")) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list("position")).alias("constant"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
-    made = Written(pages.sparkSession).table(wrappers(plain, sample), "wrappers").select("host", "roles")
-    few = (made.agg(F.sum(F.length("host") + F.length("roles"))).first()[0] or 0) <= BROADCAST_CHARS
-    joined = plain.join(F.broadcast(made) if few else made, "host", "left")
+    work = Written(pages.sparkSession)
+
+    def with_wrappers(made: DataFrame) -> DataFrame:
+        few = (made.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
+        return plain.join(F.broadcast(made) if few else made, "host", "left")
+
+    made = work.table(wrappers(plain), "wrappers")
+    # a host without boilerplate is extracted by paths alone, so its wrapper isn't matched again
+    made = work.table(made.join(boilerplate(with_wrappers(made)), "host"), "boilerplate")
+    joined = with_wrappers(made)
 
     def run(batch: pa.RecordBatch):
-        parsed: dict[str | None, tuple[dict, dict]] = {}
         texts = []
-        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "roles"))
-        for page, roles in zip(*columns, strict=True):
-            if roles not in parsed:
-                parsed[roles] = (json.loads(roles) if roles else {}, {})
-            texts.append(main_text(page or "", *parsed[roles]))
+        known: dict[str, tuple[bool, bool]] = {}
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "wrapper", "constant"))
+        for page, wrapper, constant in zip(*columns, strict=True):
+            texts.append(main_text(page or "", matcher_of(wrapper) if wrapper else None, frozenset(constant or ()), known))
         yield {"page_id": batch.column(batch.schema.get_field_index("page_id")), "url": batch.column(batch.schema.get_field_index("url")), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_batches(joined.select("page_id", "url", "html", "roles"), run, "page_id bigint, url string, text string, n_chars bigint", rows=500)
+    return map_batches(joined.select("page_id", "url", "html", "wrapper", "constant"), run, "page_id bigint, url string, text string, n_chars bigint", rows=500)
 
 
 def token_mix(page: str) -> Counter:

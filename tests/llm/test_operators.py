@@ -254,6 +254,33 @@ def test_wrapper_has_repeats_and_optionals():
     assert "+" in got["expression"] and "?" in got["expression"]
 
 
+def test_texts_take_their_role_from_the_wrapper(spark):
+    """One path, two positions: the first holds the same text on all pages, in an article and before it."""
+    pages = [f"<body><article><h1>h {n}</h1><div>Share <b>this</b></div><ul>{'<li>x %d</li>' % n * n}</ul><div>By <b>{n}</b></div></article></body>" for n in range(1, 7)]
+    rows = [(n, f"http://h/{n}", p) for n, p in enumerate(pages, 1)] + [(90 + n, "http://few/", p) for n, p in enumerate(pages[:2])] + [(95, "http://copies/", pages[0]), (96, "http://copies/", pages[0]), (97, "http://copies/", pages[0])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    for n in range(1, 7):
+        assert got[n] == "\n\n".join([f"h {n}", *[f"x {n}"] * n, f"By {n}"])
+    assert all("Share this" in got[n] for n in (90, 91, 95, 96, 97))
+
+
+def test_wrapper_accepts_every_page():
+    def element(r, depth):
+        if not depth or r.random() < 0.3:
+            return "text "
+        tag = r.choice(["div", "p", "b"])
+        return f"<{tag}>{''.join(element(r, depth - 1) for _ in range(r.randrange(4)))}</{tag}>"
+
+    for seed in range(20):
+        r = random.Random(seed)
+        pages = ["".join(element(r, 4) for _ in range(r.randrange(1, 6))) for _ in range(12)]
+        streams = [html_text.stream_of(html_text.tokens_of(p))[0] for p in pages]
+        matcher = html_text.Matcher(html_text.infer(pages)["wrapper"])
+        for symbols in streams:
+            at = matcher.positions(symbols)
+            assert [matcher.symbol[n] for n in at] == symbols
+
+
 @pytest.mark.parametrize("operator, label, mod, held", [(quality.quality, "quality", 3, 1), (toxicity.toxicity, "toxic", 5, 0)])
 def test_classifiers(spark, odd_texts, operator, label, mod, held):
     folder = "/root/testdata/sf0.1"
