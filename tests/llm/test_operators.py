@@ -264,6 +264,17 @@ def test_texts_take_their_role_from_the_wrapper(spark):
     assert all("Share this" in got[n] for n in (90, 91, 95, 96, 97))
 
 
+def test_wrapper_counts_all_pages_and_whole_streams(spark):
+    """A notice after 600 symbols, one on a template of few pages, and a slot that is equal on the first eight pages only."""
+    long = "".join(f"<div class='x{chr(97 + k % 26)}{chr(97 + k // 26)}'>{{n}}</div>" for k in range(250))
+    pages = [f"<body>{long.format(n=n)}<section>all rights</section></body>" for n in range(4)]
+    hosts = [(n, "http://long/", p) for n, p in enumerate(pages)]
+    hosts += [(100 + n, "http://mixed/", f"<body><p>{'news' if n < 60 else n}</p><h2>{n}</h2>{'<section>old site</section>' if n >= 60 else ''}</body>") for n in range(64)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(hosts, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all("all rights" not in got[n] and got[n].count(str(n)) == 250 for n in range(4))
+    assert all(got[100 + n] == f"{'news' if n < 60 else n}\n\n{n}" for n in range(64))
+
+
 def test_wrapper_accepts_every_page():
     def element(r, depth):
         if not depth or r.random() < 0.3:
