@@ -38,3 +38,25 @@ def test_greedy_assignment_keeps_to_the_capacity():
     metres = np.array([[1.0, 2.0], [1.0, 2.0], [1.0, np.nan], [3.0, 4.0]])
     assert greedy_capacity(metres, np.array([2.0, 2.0, 2.0, 2.0]), 4.0).tolist() == [0, 0, 1, 1]
     assert greedy_capacity(metres, np.array([5.0, 4.0, 4.0, 1.0]), 4.0).tolist() == [-1, 0, 1, -1]
+
+
+def test_search_tries_as_often_and_as_widely_as_the_reference(monkeypatch):
+    """Ten full vehicles can't be improved: steps of a tenth, two destructions of all, from the start again, 20 tries."""
+    freed, savings = [], R.savings_routes
+
+    def counted(minutes, demand, *rest):
+        if any(isinstance(r, np.random.Generator) for r in rest):
+            freed.append(len(minutes) - 1)
+        return savings(minutes, demand, *rest)
+
+    monkeypatch.setattr(R, "savings_routes", counted)
+    minutes, _ = problem(10, 1)
+    R.iterated_search(minutes, np.array([0.0] + [9.0] * 10), 9, 300)
+    assert freed == [*range(1, 11), 10, *range(1, 10)]
+
+
+def test_biased_order_takes_all_and_the_best_first():
+    order = np.arange(5000)
+    got = list(R.biased_order(order, np.random.default_rng(0)))
+    assert sorted(got) == order.tolist() and got != order.tolist()
+    assert all(k <= place + R.WINDOW for place, k in enumerate(got)) and np.mean(got[:100]) < 100
