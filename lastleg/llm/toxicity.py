@@ -4,16 +4,21 @@ A word is the mean of the embeddings of its character n-grams and of itself
 (hashed to a fixed number of rows), a document is the mean of its words, and a
 softmax over two classes stands on top. Embeddings and softmax are trained
 jointly in numpy by full-batch Adam, so an unseen spelling shares most of its
-vectors with the ones it was made from.
+vectors with the ones it was made from. All rows that the sample has are
+trained; the less the presence of a row says about the label, the more it is
+held to zero.
 
 The fit uses at most ``per_class`` labelled documents of each class; every
 text is scored whole. Null and empty texts get the score of no words at all
-(the bias). Without labels of both classes every score is 0. A null id is not
+(the bias), which is never above the toxic share of the sample: with few
+labels, texts without evidence are not toxic. Without labels of both classes
+every score is 0. A null id is not
 held out. Repeated rows get equal scores; other columns are never inputs.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +32,9 @@ from lastleg.llm.labelled import fold, labelled_sample
 
 PER_CLASS = 2000
 ROWS, DIMS, SHORTEST, LONGEST = 1 << 18, 6, 3, 5
-#: Rows whose presence says less about the label than this G statistic aren't trained: chance would fit them.
-EVIDENCE, KEPT = 30.0, 4096
-EPOCHS, RATE, DECAY = 150, 0.01, 1e-4
+#: G statistic of a row's presence against the label at which the row has a quarter of its full scale; chance fits the others less.
+EVIDENCE = 30.0
+EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
 
 
 def subwords(word: bytes) -> set[str]:
@@ -44,9 +49,9 @@ def rows_of(grams: set[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Logit of class 1 for each trained n-gram, and the bias. Some thousand entries, whatever the corpus."""
+    """Logit of class 1 for each embedding row, and the bias; of one size, whatever the corpus."""
 
-    weights: dict[str, float]
+    weights: np.ndarray
     bias: float
 
 
@@ -61,39 +66,49 @@ def _evidence(a: np.ndarray, n1: int, b: np.ndarray, n0: int) -> np.ndarray:
     return 2 * total
 
 
-def _matrix(texts: list[bytes], y: np.ndarray) -> tuple[dict[int, list[str]], np.ndarray]:
-    """(n-grams of each kept row, matrix): what each kept embedding row weighs in the mean of each text."""
+@dataclass
+class _Sample:
+    """Documents as shares of words and words as means of rows: what each row weighs in the mean of each document, in two sparse steps."""
+
+    y: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    share: np.ndarray
+    lengths: np.ndarray
+    row: np.ndarray  # of each word's n-grams, one word after another, by place in ``rows``
+    rows: np.ndarray
+    scale: np.ndarray
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        words = np.add.reduceat((weights * self.scale)[self.row], np.cumsum(self.lengths) - self.lengths) / self.lengths
+        return np.bincount(self.doc, weights=self.share * words[self.word], minlength=len(self.y))
+
+    def back(self, lost: np.ndarray) -> np.ndarray:
+        words = np.bincount(self.word, weights=self.share * lost[self.doc], minlength=len(self.lengths)) / self.lengths
+        return np.bincount(self.row, weights=np.repeat(words, self.lengths), minlength=len(self.rows)) * self.scale
+
+
+def _sample(texts: list[bytes], y: np.ndarray) -> _Sample:
     vocab: dict[bytes, int] = {}
     words, shares = [], []
     for text in texts:
         ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in text.lower().split()), dtype=np.int64)
         own, counts = np.unique(ids, return_counts=True)
         words.append(own)
-        shares.append(counts / max(1, len(ids)))
+        shares.append(counts / len(ids))
     grams = [rows_of(subwords(w)) for w in vocab]
     n_docs = np.zeros((2, ROWS), dtype=np.int64)
     for own, label in zip(words, y, strict=True):
-        if len(own):
-            n_docs[label, np.unique(np.concatenate([grams[w] for w in own]))] += 1
-    evidence = _evidence(n_docs[1], int((y == 1).sum()), n_docs[0], int((y == 0).sum()))
-    kept = np.argsort(-evidence, kind="stable")[:KEPT]
-    kept = np.sort(kept[evidence[kept] >= EVIDENCE])
-    place = np.full(ROWS, -1)
-    place[kept] = np.arange(len(kept))
-    x = np.zeros((len(texts), len(kept)), dtype=np.float32)
-    for i, (own, share) in enumerate(zip(words, shares, strict=True)):
-        if len(own):
-            lengths = np.array([len(grams[w]) for w in own])
-            at = place[np.concatenate([grams[w] for w in own])]
-            weight = np.repeat(share / lengths, lengths)
-            x[i] = np.bincount(at[at >= 0], weights=weight[at >= 0], minlength=len(kept))
-    spelled: dict[int, list[str]] = {}
-    for w, rows in zip(vocab, grams, strict=True):
-        if (place[rows] >= 0).any():
-            for gram, row in zip(sorted(subwords(w)), rows.tolist(), strict=True):
-                if place[row] >= 0:
-                    spelled.setdefault(int(place[row]), []).append(gram)
-    return spelled, x
+        n_docs[label, np.unique(np.concatenate([grams[w] for w in own]))] += 1
+    lengths = np.array([len(g) for g in grams])
+    rows, row = np.unique(np.concatenate(grams), return_inverse=True)
+    n_docs = n_docs[:, rows]
+    evidence = np.maximum(0.0, _evidence(n_docs[1], int((y == 1).sum()), n_docs[0], int((y == 0).sum())))
+    doc, word, share = np.repeat(np.arange(len(texts)), [len(w) for w in words]), np.concatenate(words), np.concatenate(shares)
+    sample = _Sample(y, doc, word, share, lengths, row, rows, np.ones(len(rows)))
+    typical = sample.back(np.ones(len(texts))) / n_docs.sum(axis=0)  # what a row weighs in a document that has it
+    sample.scale = (evidence / (evidence + EVIDENCE)) ** 2 / typical
+    return sample
 
 
 def train(samples: list[tuple[bytes, int]], seed: int = 11) -> Model | None:
@@ -101,41 +116,37 @@ def train(samples: list[tuple[bytes, int]], seed: int = 11) -> Model | None:
     y = np.array([label for _, label in samples], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    spelled, x = _matrix([t for t, _ in samples], y)
-    spread = x.std(axis=0) + 1e-9
-    center = x.mean(axis=0)
-    x = (x - center) / spread
+    x = _sample([t for t, _ in samples], y)
     random = np.random.default_rng(seed)
-    params = {"e": random.normal(0, 0.01, (x.shape[1], DIMS)).astype(np.float32), "w": random.normal(0, 0.3, (DIMS, 2)).astype(np.float32), "b": np.zeros(2, dtype=np.float32)}
+    params = {"e": random.normal(0, 0.01, (len(x.rows), DIMS)), "w": random.normal(0, 0.3, (DIMS, 2)), "b": np.zeros(2)}
     mean, square = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    target = np.eye(2, dtype=np.float32)[y]
-    balance = (1 / np.bincount(y, minlength=2))[y][:, None].astype(np.float32) / 2  # both classes weigh the same
+    balance = (1 / np.bincount(y, minlength=2))[y] / 2  # both classes weigh the same
     for epoch in range(1, EPOCHS + 1):
-        vectors = x @ params["e"]
-        logits = vectors @ params["w"] + params["b"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        lost = (p - target) * balance
-        grad = {"e": x.T @ (lost @ params["w"].T) + DECAY * params["e"], "w": vectors.T @ lost + DECAY * params["w"], "b": lost.sum(axis=0)}
+        edge = params["w"][:, 1] - params["w"][:, 0]
+        logit = x.logits(params["e"] @ edge) + params["b"][1] - params["b"][0]
+        lost = (1 / (1 + np.exp(-np.clip(logit, -700, 700))) - y) * balance  # of class 1; class 0 loses the opposite
+        back = x.back(lost)
+        toward = params["e"].T @ back
+        grad = {"e": np.outer(back, edge) + DECAY * params["e"], "w": np.stack([-toward, toward], axis=1) + DECAY * params["w"], "b": np.array([-lost.sum(), lost.sum()])}
         for k, g in grad.items():
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             params[k] = params[k] - RATE * (mean[k] / (1 - 0.9**epoch)) / (np.sqrt(square[k] / (1 - 0.99**epoch)) + 1e-8)
-    edge = params["w"][:, 1] - params["w"][:, 0]
-    weights = (params["e"] @ edge) / spread
-    bias = float(params["b"][1] - params["b"][0] - center @ weights)
-    return Model({gram: float(weights[k]) for k, grams in spelled.items() for gram in grams}, bias)
+    weights = np.zeros(ROWS)
+    weights[x.rows] = (params["e"] @ (params["w"][:, 1] - params["w"][:, 0])) * x.scale
+    return Model(weights, min(float(params["b"][1] - params["b"][0]), float(np.log(y.mean()))))
 
 
 class Scorer:
     def __init__(self, model: Model | None):
         self.model, self.known = model, {}
+        self.weights = [] if model is None else model.weights.tolist()
 
     def _word(self, word: bytes) -> float:
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        grams, weights = subwords(word), self.model.weights
-        value = self.known[word] = sum(weights[g] for g in sorted(grams & weights.keys())) / len(grams)
+        grams, weights, digest = subwords(word), self.weights, xxhash.xxh3_64_intdigest
+        value = self.known[word] = math.fsum([weights[digest(g) & (ROWS - 1)] for g in grams]) / len(grams)
         return value
 
     def scores(self, texts: list[bytes]) -> list[float]:

@@ -305,6 +305,17 @@ def test_classifiers(spark, odd_texts, operator, label, mod, held):
     assert len(none) == 5
 
 
+def test_toxicity_with_few_labels(spark):
+    """Ten toxic labels: held-out texts of the larger corpus are neither all toxic nor all clean. One of each: none is toxic."""
+    small, large = (tuple(spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")) for sf in ("sf0.001", "sf0.1"))
+    known = large[0].join(large[1].where("toxic in (0, 1)"), "doc_id").select("text", "toxic").collect()
+    scores = np.array(toxicity.Scorer(toxicity.fit(*small)).scores([(r.text or "").encode() for r in known]))
+    toxic = np.array([r.toxic == 1 for r in known])
+    assert (scores[~toxic] < 0.5).mean() > 0.95 and (scores[toxic] >= 0.5).mean() > 0.4
+    scorer = toxicity.Scorer(toxicity.train([(b"some words here", 0), (b"other words there", 1)]))
+    assert all(0 < s < 0.45 for s in scorer.scores([b"", b"nothing known", b"words"]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
