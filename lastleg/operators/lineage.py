@@ -12,5 +12,7 @@ def cut(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lastleg-checkpoint-"))
     return frame.checkpoint()
