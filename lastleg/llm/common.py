@@ -8,27 +8,33 @@ and all executors share, so a lost executor costs only a re-read.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that a per-worker word cache may hold before it is emptied.
 CACHE_ENTRIES = 300_000
 
+#: Rows of one key that a task takes whatever their share of all rows.
+LEAST_HOT = 1000
+
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of this machine's if all tasks run on it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lastleg-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,9 +52,9 @@ class Written:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         self.paths.append(path)
-        free_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, keep: int = 0) -> None:
@@ -62,10 +68,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs in here as soon as it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict], Iterable[pa.RecordBatch | dict]], schema: str, rows: int = 1000) -> DataFrame:
@@ -128,3 +140,36 @@ def unique_sorted(x: np.ndarray) -> np.ndarray:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole texts: as many as the input has splits, and not under the session's number."""
+    return max(partitions(df.sparkSession), df.rdd.getNumPartitions())
+
+
+def hot_bound(spark: SparkSession, rows: int) -> int:
+    """Rows of one key above which it is hot. At most 4 x partitions keys of ``rows`` rows can be."""
+    return max(LEAST_HOT, rows // (4 * partitions(spark)))
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", count: str = "n_rows") -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key) without a task that holds a hot key.
+
+    ``table`` has in ``count`` how many of the ``total`` rows of ``rows`` have
+    its key. Keys above ``hot_bound`` are so few (4 x partitions) that they are
+    broadcast; their rows are dealt over as many salts as they exceed the bound,
+    and their row of ``table`` is repeated for each salt. All rows then meet by
+    one shuffle join. The count is dropped; ``how`` is inner or left.
+    """
+    bound = hot_bound(rows.sparkSession, total)
+    if total <= bound:
+        return rows.join(table.drop(count), keys, how)
+    hot = table.where(F.col(count) > bound).select(*keys, F.ceil(F.col(count) / bound).cast("bigint").alias("__salts"))
+    if not hot.limit(1).count():
+        return rows.join(table.drop(count), keys, how)
+    others = [c for c in rows.columns if c not in keys]
+    own = F.coalesce(F.pmod(F.xxhash64(*others), F.col("__salts")), F.lit(0))
+    salted = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, own.alias("__salt"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col(count) / bound).cast("bigint"), F.lit(1).cast("bigint")) - 1))
+    spread = table.select(*[c for c in table.columns if c != count], salts.alias("__salt"))
+    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")

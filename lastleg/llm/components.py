@@ -2,7 +2,8 @@
 
 Every step is a join and an aggregate over edges; nothing is collected. Each
 round's edges are written to the shared folder, so lineage stays short and an
-executor may be lost at any time.
+executor may be lost at any time. Hubs, which the steps themselves make of
+large components, are few enough to be broadcast; see ``join_by_key``.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import Written
+from lastleg.llm.common import LEAST_HOT, Written, join_by_key
 
 
-def _star(edges: DataFrame, both: DataFrame, larger: bool) -> DataFrame:
-    """Link neighbours of each node to the least node of its neighbourhood."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    out = both.join(least, "u").where(F.col("v") > F.col("u") if larger else F.col("v") <= F.col("u"))
+def _star(both: DataFrame, total: int, larger: bool, work: Written) -> DataFrame:
+    """Link neighbours of each node to the least node of its neighbourhood; ``both`` has each edge from u to v."""
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n_rows"))
+    if total > LEAST_HOT:
+        least = work.table(least, "least")
+    out = join_by_key(both, least, ["u"], total).where(F.col("v") > F.col("u") if larger else F.col("v") <= F.col("u"))
     linked = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger:
         linked = linked.unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
@@ -27,15 +30,20 @@ def components(edges: DataFrame, work: Written) -> DataFrame:
     """``edges`` (u, v bigint) -> (node, component): component is the least node reachable.
 
     Self-links and repeated links are ignored; nodes without a link are absent.
+    The tables of finished rounds are dropped.
     """
     now = work.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    mark, total = None, now.count()
+    while total:
+        steps = Written(work.spark)
         turned = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(now, turned, True)
-        now = work.table(_star(large, large, False), "edges")
+        large = _star(turned, 2 * total, True, steps)
+        if total > LEAST_HOT:
+            large = steps.table(large, "edges")
+        now = work.table(_star(large, total, False, steps), "edges")
+        steps.drop()
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, total = seen, seen[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -5,16 +5,19 @@ pages of a host are aligned one after another: repeats are folded into X+,
 what one side lacks becomes an optional group X?, and texts become slots. The
 result, the host's wrapper, has no alternatives and accepts every page of the
 host. Each page is matched against it, so that each of its texts has a
-position in the wrapper. A position whose texts are the same on all pages that
-have it, three different pages at least, is the host's boilerplate, in an
-article or out of it; a block is left out when all its texts are boilerplate.
-Slots in menus, footers, adverts and the like are left out by their path. A
-page of which nothing would stay keeps what its paths allow.
+position in the wrapper, and only texts of content positions come out. A
+position is none if the elements around it say that it is a menu, a footer, an
+advert and the like, if it is outside the article of a page that has one, or if
+its texts are the same on all pages that have it, three different pages at
+least: then it is the host's boilerplate, in an article or out of it. A block
+is left out when all its texts are boilerplate. A page of which nothing would
+stay keeps its boilerplate.
 
 Streams and texts of every page count, whatever the host's size. Pages count
 as different by their texts outside menus, footers and adverts. Null and empty
 pages have empty text. Null urls share one host, the empty one. Repeated rows
-give equal rows; other columns are ignored.
+give equal rows, and rows that repeat a page_id with other html each their own;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +38,8 @@ from lastleg.llm.common import Written, map_batches, to_batch
 BROADCAST_CHARS = 8_000_000
 #: Different pages that a position must have before equal texts make it boilerplate.
 LEAST_PAGES = 3
-#: Parts of a host whose streams are aligned on their own first, by a hash of the stream.
-PARTS = 16
+#: Streams of a host that one task aligns, on average.
+GROUP = 32
 #: Entries that a worker's tables may hold before they are emptied or passed on.
 HELD = 20_000
 
@@ -56,6 +58,11 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg title dialog menu object embed canvas audio video label input".split())
+#: Of the dropped elements, those that are no part of an article that they hold: a form may wrap a whole page.
+AROUND = frozenset("head nav footer aside script style noscript template".split())
+#: Words before one of the next that turn its meaning round, as in "no-sidebar" or "layout-with-sidebar".
+TURNING = frozenset("has have no not with without hide hidden show is".split())
+ARTICLE_NAMES = frozenset("main article articlebody article-body".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
@@ -63,11 +70,13 @@ CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 
 
 def _signature(name: str, attrs: str) -> str:
-    found = []
-    for key, a, b, c in ATTRIBUTE.findall(attrs) if attrs else ():
-        words = [w for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w]
-        found += [f"{'#' if key.lower() == 'id' else '.'}{w}" for w in words]
-    return name + "".join(sorted(set(found)))
+    """The element's name with its classes, id and role, each as its words of letters joined by hyphens."""
+    found = set()
+    for key, x, y, z in ATTRIBUTE.findall(attrs) if attrs else ():
+        for token in (x or y or z).lower().split():
+            if words := [w for w in re.split(r"[^a-z]+", token) if w]:
+                found.add(("#" if key.lower() == "id" else ".") + "-".join(words))
+    return name + "".join(sorted(found))
 
 
 def _name(signature: str) -> str:
@@ -264,6 +273,10 @@ class Matcher:
         self.out: list[list[int]] = []
         self.met: dict[tuple, list[int]] = {}
         self.start = self._build(wrapper, self._node("", []))
+        paths = {s[1] for s in self.symbol if isinstance(s, tuple)}
+        by_path = {p: (not dropped_by_path(p), in_article(p)) for p in paths}
+        #: For each position that holds text: whether it may be main text, and whether it is in an article.
+        self.role = [by_path[s[1]] if isinstance(s, tuple) else (False, False) for s in self.symbol]
 
     def _node(self, symbol, out: list[int]) -> int:
         self.symbol.append(symbol)
@@ -300,6 +313,12 @@ class Matcher:
             self.met[key] = found
         return self.met[key]
 
+    def accepted(self, symbols: list) -> list[int]:
+        at = self.positions(symbols)
+        if at is None:
+            raise ValueError("a wrapper doesn't accept a page that it was made from")
+        return at
+
     def positions(self, symbols: list) -> list[int] | None:
         """A position for each symbol; None if the wrapper doesn't accept them."""
         now, steps = [-1], []
@@ -320,35 +339,47 @@ class Matcher:
         return out[::-1]
 
 
+def _telltale(token: str, inside: bool) -> bool:
+    """Whether a class, id or role names a part that is no main text; in an article, its header is part of it."""
+    turned = False
+    for word in token.split("-"):
+        turned = turned or word in TURNING
+        if word in DROPPED_WORDS and not turned and not (inside and word == "header"):
+            return True
+    return False
+
+
 def dropped_by_path(path: str) -> bool:
+    """Whether an element on the path is no main text by its name, class, id or role.
+
+    An element that holds an article (or main) isn't dropped by class, id or
+    role, nor is the article itself.
+    """
+    elements = [re.split(r"[.#]", s) for s in path.split("/")]
+    last = max((k for k, e in enumerate(elements) if e[0] in ("article", "main")), default=-1)
     inside = False
-    for signature in path.split("/"):
-        name, *words = re.split(r"[.#]", signature)
-        if name in DROPPED or (name == "header" and not inside):
+    for k, (name, *tokens) in enumerate(elements):
+        if name in (AROUND if k < last else DROPPED) or (name == "header" and not inside and k > last):
             return True
-        if name not in ("html", "body", "main") and not DROPPED_WORDS.isdisjoint(words):
+        if k > last and name not in ("html", "body") and any(_telltale(t, inside) for t in tokens):
             return True
         inside = inside or name in ("article", "main")
     return False
 
 
 def in_article(path: str) -> bool:
-    return any(_name(s) in ("article", "main") or ".main" in s or ".article" in s or ".articlebody" in s for s in path.split("/"))
+    return any(name in ("article", "main") or not ARTICLE_NAMES.isdisjoint(tokens) for name, *tokens in (re.split(r"[.#]", s) for s in path.split("/")))
 
 
 def texts_by_position(page: str, matcher: Matcher) -> dict[int, str]:
-    """What a page has at each position of its host's wrapper, without slots dropped by their path."""
+    """What a page has at each position of its host's wrapper that may be main text."""
     tokens = tokens_of(page)
     symbols, places = stream_of(tokens)
-    at = matcher.positions(symbols)
+    at = matcher.accepted(symbols)
     found: dict[int, list[str]] = {}
-    good: dict[str, bool] = {}
-    for (_, value, path), place in zip(tokens, places, strict=True):
-        if at is not None and place >= 0:
-            if path not in good:
-                good[path] = not dropped_by_path(path)
-            if good[path]:
-                found.setdefault(at[place], []).append(" ".join(value.split()))
+    for (_, value, _), place in zip(tokens, places, strict=True):
+        if place >= 0 and matcher.role[at[place]][0]:
+            found.setdefault(at[place], []).append(" ".join(value.split()))
     return {n: "\x1f".join(v) for n, v in found.items()}
 
 
@@ -394,40 +425,35 @@ def render(wrapper) -> str:
     return "".join(out)
 
 
-def main_text(page: str, matcher: Matcher | None = None, constant: frozenset[int] | set[int] = frozenset(), known: dict[str, tuple[bool, bool]] | None = None) -> str:
-    """Blocks of the content slots, in page order, joined by an empty line."""
-    known = {} if known is None else known
+def main_text(page: str, matcher: Matcher, constant: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the wrapper's content positions, in page order, joined by an empty line."""
     tokens = tokens_of(page)
-    places, at = [-1] * len(tokens), None
-    if matcher is not None and constant:
-        symbols, places = stream_of(tokens)
-        at = matcher.positions(symbols)
-    any_article = False
-    for kind, value, path in tokens:
-        if path not in known:
-            known[path] = (not dropped_by_path(path), in_article(path))
-        any_article = any_article or (known[path] == (True, True) and kind == "text" and bool(value.strip()))
+    symbols, places = stream_of(tokens)
+    at = matcher.accepted(symbols)
+    roles = [matcher.role[at[k]] if k >= 0 else (False, False) for k in places]
+    any_article = (True, True) in roles
     blocks: list[tuple[str, bool]] = []
     now: list[str] = []
-    own = [False]  # whether the block has a text that isn't boilerplate
+    own = False  # whether the block has a text that isn't boilerplate
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
-            blocks.append((text, own[0]))
+            blocks.append((text, own))
         now.clear()
-        own[0] = False
 
-    for (kind, value, path), place in zip(tokens, places, strict=True):
+    for (kind, value, _), place, role in zip(tokens, places, roles, strict=True):
         if kind == "text":
-            good, inside = known[path]
-            if good and (not any_article or inside):
+            if place < 0:
+                now.append(" ")  # white space between two elements
+            elif role[0] and (role[1] or not any_article):
                 now.append(value)
-                own[0] = own[0] or (bool(value.strip()) and (at is None or at[place] not in constant))
+                own = own or at[place] not in constant
         elif kind == "gap":
             now.append(" ")
         elif value in BLOCK:
             end()
+            own = False
     end()
     return "\n\n".join([t for t, other in blocks if other] or [t for t, _ in blocks])
 
@@ -451,8 +477,12 @@ def matcher_of(wrapper: str) -> Matcher:
     return _matchers[wrapper]
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of all pages of each host, as JSON."""
+def wrappers(pages: DataFrame, work: Written) -> DataFrame:
+    """(host, wrapper): the wrapper of all pages of each host, as JSON.
+
+    A host's different streams are merged in groups of about ``GROUP``, and
+    the results again, until one is left: no task holds a host.
+    """
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -482,9 +512,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def merged(table: pa.Table) -> pa.Table:
         return pa.table({"host": [table["host"][0].as_py()], "stream": [merge(table["stream"].to_pylist())]})
 
-    different = pages.select("host", "html").mapInArrow(streams, "host string, stream string").distinct()
-    parts = different.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS))).groupBy("host", "part").applyInArrow(merged, "host string, stream string")
-    return parts.groupBy("host").applyInArrow(merged, "host string, stream string").withColumnRenamed("stream", "wrapper")
+    left = work.table(pages.select("host", "html").mapInArrow(streams, "host string, stream string").distinct(), "streams")
+    while True:
+        counts = left.groupBy("host").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 1
+        if most == 1:
+            return left.withColumnRenamed("stream", "wrapper")
+        # hosts with one stream are done; the others are few against the pages
+        parts = left.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / GROUP)))
+        left = work.table(parts.groupBy("host", "part").applyInArrow(merged, "host string, stream string").distinct(), "streams")
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
@@ -521,27 +557,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     work = Written(pages.sparkSession)
+    made = work.table(wrappers(plain, work), "wrappers")
+    few = (made.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
 
-    def with_wrappers(made: DataFrame) -> DataFrame:
-        few = (made.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
-        return plain.join(F.broadcast(made) if few else made, "host", "left")
+    def with_wrappers(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(table) if few else table, "host", "left")
 
-    made = work.table(wrappers(plain), "wrappers")
-    # a host without boilerplate is extracted by paths alone, so its wrapper isn't matched again
-    made = work.table(made.join(boilerplate(with_wrappers(made)), "host"), "boilerplate")
-    joined = with_wrappers(made)
+    made = work.table(made.join(boilerplate(with_wrappers(plain, made)), "host", "left"), "roles")
+    work.drop(keep=1)
 
     def run(batch: pa.RecordBatch):
         texts = []
-        known: dict[str, tuple[bool, bool]] = {}
         columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "wrapper", "constant"))
         for page, wrapper, constant in zip(*columns, strict=True):
-            texts.append(main_text(page or "", matcher_of(wrapper) if wrapper else None, frozenset(constant or ()), known))
+            # a host without a wrapper has only empty pages
+            texts.append(main_text(page, matcher_of(wrapper), frozenset(constant or ())) if page and wrapper else "")
         yield {"page_id": batch.column(batch.schema.get_field_index("page_id")), "url": batch.column(batch.schema.get_field_index("url")), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_batches(joined.select("page_id", "url", "html", "wrapper", "constant"), run, "page_id bigint, url string, text string, n_chars bigint", rows=500)
-
-
-def token_mix(page: str) -> Counter:
-    """How many tokens of each kind a page has; for reports."""
-    return Counter(kind for kind, _, _ in tokens_of(page))
+    joined = with_wrappers(plain, made).select("page_id", "url", "html", "wrapper", "constant")
+    return map_batches(joined, run, "page_id bigint, url string, text string, n_chars bigint", rows=500)

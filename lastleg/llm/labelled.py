@@ -11,21 +11,22 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, train: Column) -> list[tuple[bytes, int]]:
-    """(text, label) of at most ``per_class`` documents of each class, taken in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, train: Column) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` documents of each class, taken in the order of a hash of the id.
 
     Labels choose the ids first; the ids, of which there are 2 * per_class at
     most, are then the small side of a broadcast join, so texts aren't shuffled.
+    An id that several rows have gives one of them, that of the least text hash.
     Labels that contradict each other for one id, and null labels, aren't used.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_y2")).where("_y = _y2")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     present = docs.select(F.col("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     known = known.join(present, "doc_id", "left_semi")
     ids = None
     for y in (0, 1):
-        some = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "_y")
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select(F.col("doc_id").alias("__id"), "y")
         ids = some if ids is None else ids.unionByName(some)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(ids.collect(), "doc_id bigint, _y int")  # 2 * per_class rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_y").toArrow().to_pylist()
-    return [((r["text"] or "").encode(), r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    ids = docs.sparkSession.createDataFrame(ids.collect(), "__id bigint, y int")  # 2 * per_class rows at most
+    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("k"), F.col("text"), F.col("y"))).alias("r"))
+    return one.select("doc_id", "r.text", "r.y")

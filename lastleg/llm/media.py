@@ -73,6 +73,14 @@ def from_png(stored: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
+def _store(folder: str):
+    """The file system of a folder, and the folder's path in it; Hadoop's names of object stores are Arrow's s3."""
+    from pyarrow import fs
+
+    scheme, _, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else folder)
+
+
 def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards and an index table beside them; returns the index. The folder is this operator's output and stays."""
     spark = docs.sparkSession
@@ -83,9 +91,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     target = to_arrow_schema(StructType.fromDDL(INDEX))
 
     def run(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(f"{root}/shards", recursive=True)
         sink, name, at, members = None, "", 0, {}
         try:
@@ -123,18 +129,23 @@ def write_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
 
 class _Shards:
-    """Open shards of one task."""
+    """Open shards of one slice of rows, sixteen at most; closed at its end."""
 
     def __init__(self):
         self.open = {}
 
-    def read(self, folder: str, shard: str, offset: int, length: int) -> bytes:
-        from pyarrow import fs
+    def __enter__(self) -> _Shards:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
 
+    def read(self, folder: str, shard: str, offset: int, length: int) -> bytes:
         if (folder, shard) not in self.open:
             if len(self.open) >= 16:
                 self.open.popitem()[1].close()
-            store, root = fs.FileSystem.from_uri(folder)
+            store, root = _store(folder)
             self.open[folder, shard] = store.open_input_file(f"{root}/{shard}")
         return self.open[folder, shard].read_at(length, offset)
 
@@ -147,8 +158,8 @@ def headers(index: DataFrame) -> DataFrame:
     """The index with the width and height of each image, from reads of its first bytes only."""
 
     def run(batch: pa.RecordBatch):
-        shards = _Shards()
-        sizes = [png_size(shards.read(folder, shard, at, HEADER_BYTES)) for folder, shard, at, _, _, _ in _rows(batch)]
+        with _Shards() as shards:
+            sizes = [png_size(shards.read(folder, shard, at, HEADER_BYTES)) for folder, shard, at, _, _, _ in _rows(batch)]
         yield {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"width": [w for w, _ in sizes], "height": [h for _, h in sizes]}
 
     return map_batches(index, run, f"{INDEX}, folder string, width int, height int")
@@ -165,16 +176,17 @@ def read_back(index: DataFrame) -> DataFrame:
     """Reads every stored image, checks it against its digest and returns one row of features for each index row."""
 
     def run(batch: pa.RecordBatch):
-        shards, got = _Shards(), []
-        last, values = None, ()
-        for (folder, shard, at, length, digest, n), width, height in zip(_rows(batch), *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("width", "height")), strict=True):
-            if last != (shard, at):
-                stored = shards.read(folder, shard, at, length)
-                payload = from_png(stored)
-                if hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"{shard} at {at}: the payload is not the one that was stored")
-                last, values = (shard, at), (len(payload), digest, zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload, width, height))
-            got.append((n, *values))
+        got, last, values = [], None, ()
+        sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("width", "height"))
+        with _Shards() as shards:
+            for (folder, shard, at, length, digest, n), width, height in zip(_rows(batch), *sizes, strict=True):
+                if last != (shard, at):
+                    stored = shards.read(folder, shard, at, length)
+                    payload = from_png(stored)
+                    if hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"{shard} at {at}: the payload is not the one that was stored")
+                    last, values = (shard, at), (len(payload), digest, zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload, width, height))
+                got.append((n, *values))
         names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         yield {"doc_id": batch.column(batch.schema.get_field_index("doc_id"))} | dict(zip(names, zip(*got, strict=True), strict=True))
 

@@ -9,8 +9,9 @@ shares no band with a chance of 5e-8); inside a band J is estimated jointly
 from the larger, smaller and equal registers and the two set sizes by maximum
 likelihood; what may reach the threshold is verified on the full sets.
 
-No group is expanded into its pairs. Documents with equal sets are one class
-and only its least id goes on. In a band, the candidates of a class are joined
+No group is expanded into its pairs. Rows with equal sets are one class, which
+goes on under a number of its own: an id may have several texts, and each of
+them has its own set and links. In a band, the candidates of a class are joined
 to a spanning forest of the best estimates; after verification, blocks that
 still hold several components are compared once more, all their full sets at
 once by a matrix product, and give one link for each two components they join.
@@ -20,8 +21,12 @@ components after that, each class outside its largest component is compared
 with every class of the band, cell by cell of two blocks, so no link is lost.
 
 Texts that are null, empty or without words have no set and are linked with
-nothing. Repeated rows (one id, equal sets) are one class. A null id is linked
-with nothing, its component is null and it is kept. Long texts are taken whole.
+nothing. Repeated rows (one id, equal sets) are one class. Rows of one id with
+different texts are documents of their own, linked by their texts alone; each
+gets the least id that it reaches. A null id is linked with nothing, its
+component is null and it is kept. Long texts are taken whole; empty tables give
+no rows. Sets and their sizes are those of 64-bit shingle hashes: two different
+shingles of n in a pair of documents are taken for one with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import WordHashes, Written, map_batches, mix64, partitions, texts_of, unique_sorted
+from lastleg.llm.common import WordHashes, Written, join_by_key, map_batches, mix64, partitions, texts_of, unique_sorted
 from lastleg.llm.components import components
 
 REGISTERS, BANDS = 128, 32
@@ -164,9 +169,9 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
         for k, r in zip(full, registers([sets[k] for k in full]), strict=True):
             regs[k] = r.astype("<u2").tobytes()
         whole = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "whole": whole, "regs": regs}
+        yield {"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": [len(s) for s in sets], "whole": whole, "regs": regs}
 
-    return map_batches(docs, run, "doc_id bigint, n_shingles bigint, whole binary, regs binary", rows=500)
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id bigint, text_key bigint, n_shingles bigint, whole binary, regs binary", rows=500)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -286,20 +291,21 @@ def _likely_ends(cells: DataFrame, similarity: float) -> DataFrame:
 
 
 def _full_sets(plain: DataFrame, ends: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(rep, members) of the classes whose ids ``ends`` (rep) names; repeated rows give repeated rows."""
+    """(rep, members) of the classes whose numbers ``ends`` (rep) names."""
 
     def run(batch: pa.RecordBatch):
-        ids, whole = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "whole"))
+        reps, whole = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "whole"))
         rep, members = [], []
-        for doc, text, key in zip(ids, texts_of(batch), whole, strict=True):
+        for number, text, key in zip(reps, texts_of(batch), whole, strict=True):
             own = shingle_set(text, words).astype("<u8").tobytes()
             if xxhash.xxh3_128_digest(own) == key:  # a repeated id may have other texts too
-                rep.append(doc)
+                rep.append(number)
                 members.append(own)
         yield {"rep": rep, "members": members}
 
-    named = ends.join(classes.select("rep", "whole"), "rep").withColumnRenamed("rep", "doc_id")
-    return map_batches(plain.join(named, "doc_id").select("doc_id", "text", "whole"), run, "rep bigint, members binary", rows=500)
+    named = ends.join(classes.select("rep", "least_id", "text_key", "whole"), "rep").withColumnRenamed("least_id", "doc_id")
+    texts = plain.withColumn("text_key", F.xxhash64("text")).join(named, ["doc_id", "text_key"])
+    return map_batches(texts.select("rep", "text", "whole"), run, "rep bigint, members binary", rows=500)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -318,29 +324,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "u bigint, v bigint", rows=500)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    spark = docs.sparkSession
-    work = Written(spark)
+def _resolved(docs: DataFrame, work: Written, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root, component_id) for every row: root numbers the component, null without a set or an id."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = work.table(_sketches(plain, words), "sketches")
-    classes = work.table(sketches.where("whole is not null and doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
+    own_set = sketches.where("whole is not null and doc_id is not null").groupBy("whole")
+    least = F.min(F.struct("doc_id", "text_key"))
+    classes = own_set.agg(least.alias("least"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("n_rows"))
+    # an id may have several texts, so classes are numbered; the numbers are fixed once they are written
+    columns = ["whole", F.col("least.doc_id").alias("least_id"), F.col("least.text_key").alias("text_key"), "n", "regs", "n_rows"]
+    classes = work.table(classes.select(F.monotonically_increasing_id().alias("rep"), *columns), "classes")
 
     width = 2 * REGISTERS // BANDS
-    keys = classes.select("rep", "n", "regs", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width})))")).alias("key"))
-    slim = keys.select("key", "rep")
-    shared = slim.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width})))")).alias("key"))
+    shared = work.table(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("n_rows", F.col("size")), "bands")
     # a band with more classes than a block holds is dealt into blocks, in another way for each band
     block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / BLOCK))).otherwise(0)
     band = F.when(F.col("size") > BLOCK, F.col("key"))
-    dealt = work.table(slim.join(shared, "key").select(F.xxhash64("key", block).alias("key"), "rep", band.alias("band"), "size"), "members")
+    met = join_by_key(keys, shared, ["key"], BANDS * classes.count())
+    dealt = work.table(met.select(F.xxhash64("key", block).alias("key"), "rep", band.alias("band"), "size"), "members")
     members, large = dealt.select("key", "rep"), dealt.where("band is not null").select("band", "size", "rep")
     with_regs = members.join(classes.select("rep", "n", "regs"), "rep")
 
     found = work.table(_candidates(with_regs, similarity), "candidates")
     ends = found.where("a = b").select(F.col("a").alias("rep")).distinct()
     sets = work.table(_full_sets(plain, ends, classes, words), "sets")
-    if sets.count() > sets.select("rep").distinct().count():  # rows that repeat an id
+    if sets.count() > sets.select("rep").distinct().count():  # rows that repeat an id and its text
         sets = work.table(sets.dropDuplicates(["rep"]), "sets")
 
     links = work.table(_verified(found.where("a <> b"), sets, similarity), "links")
@@ -364,17 +373,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             if across.limit(1).count():
                 linked = work.table(components(links.unionByName(across), work), "components")
 
-    own = sketches.join(classes.select("whole", "rep"), "whole", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    out = own.select("doc_id", "n_shingles", component.alias("component_id"))
-    out = work.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    placed = classes.select("whole", "rep", "least_id", "n_rows").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    first = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n_rows").alias("n_root"), F.count("*").alias("n_rows"))
+    first = work.table(first, "first")
+    total = sketches.count()
+    of_class = work.table(join_by_key(placed.select("whole", "root", F.col("n_rows").alias("n_class")), first.drop("n_root"), ["root"], total).withColumnRenamed("n_class", "n_rows"), "placed")
+    rows = join_by_key(sketches.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("whole")).alias("whole")), of_class, ["whole"], total, "left")
+    return work.table(rows.select("doc_id", "text_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    work = Written(docs.sparkSession)
+    rows = _resolved(docs, work, words, similarity, id_col, text_col)
     work.drop(keep=1)
-    return out
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; repeated rows stay once, null ids stay."""
-    kept = near_duplicates(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    names = docs.columns
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept.where("_kept is not null"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay, with all their columns: one of each component.
+
+    That is a row of the component's least id (of several texts of that id, the
+    one of the least text hash). Rows without words, or with a null id, all
+    stay, but for rows that repeat an id and its text, which stay once.
+    """
+    work = Written(docs.sparkSession)
+    rows = _resolved(docs, work, words, similarity, "doc_id", "text")
+    alone = rows.where("root is null and doc_id is not null").select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))
+    one = rows.where("root is not null and doc_id = component_id").groupBy("root", F.col("doc_id").alias("__kept_id")).agg(F.min("text_key").alias("__kept_key")).select("__kept_id", "__kept_key")
+    kept = work.table(alone.unionByName(one).distinct(), "kept")
+    work.drop(keep=1)
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text_key", F.xxhash64("text"))
+    named = named.join(kept, (F.col("doc_id") == F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_key")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

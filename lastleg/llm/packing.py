@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import map_batches, partitions, texts_of, to_batch
+from lastleg.llm.common import map_batches, sized_partitions, texts_of, to_batch
 from lastleg.llm.word_bpe import word_tokenizer
 
 DIMS, BITS = 4, 10
@@ -77,13 +77,12 @@ def tail_sizes(left: int) -> list[int]:
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids, if asked for)."""
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def keyed(batch: pa.RecordBatch):
         yield {"key": curve_keys(texts_of(batch)), "doc_id": batch.column(0), "text": batch.column(1)}
 
-    ordered = map_batches(plain, keyed, "key bigint, doc_id bigint, text string").repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
+    ordered = map_batches(plain, keyed, "key bigint, doc_id bigint, text string").repartitionByRange(sized_partitions(plain), "key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids binary" if with_ids else "")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

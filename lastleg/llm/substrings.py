@@ -1,7 +1,8 @@
 """Removal of passages that occur in an earlier document, by suffix automata.
 
 A window is ``width`` consecutive words. A word goes if a window over it also
-starts in a document with a smaller id.
+starts in a document with a smaller id; windows that touch or overlap make one
+maximal span.
 
 Windows meet by anchors. A window's anchor is the least hash of the short word
 groups in it, so equal windows have equal anchors, and neighbouring windows
@@ -12,12 +13,14 @@ through the shard's suffix automaton for their matching statistics, which give
 for each window the first document that has it, and are then added to the
 automaton. Shards are dealt over the cluster instead of broadcast, for their
 size grows with the corpus. An anchor with more than ``SHARD`` distinct
-segments is no shard; its windows are grouped one by one.
+segments is no shard; its windows are grouped one by one. Anchors and segments
+that very many documents have are dealt over several tasks by ``join_by_key``.
 
 Null texts have no words. A document with fewer words than a window loses
 none. A null id is no document to compare with: it loses nothing and removes
 nothing. Repeated rows (one id) don't remove each other's words and give equal
-rows. Long texts are taken whole.
+rows; nor do different texts of one id. Long texts are taken whole. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import Written, WordHashes, map_batches, mix64, partitions, texts_of, to_batch
+from lastleg.llm.common import Written, WordHashes, join_by_key, map_batches, mix64, partitions, texts_of, to_batch
 
 WIDTH, GROUP = 13, 5
+#: Bytes of a word's hash that segments keep. Two windows of one anchor that differ in one word are taken for equal with a chance of 2^-40.
+BYTES = 5
 #: Distinct segments of one anchor that one automaton takes.
 SHARD = 2048
 
@@ -57,6 +62,17 @@ def anchors_of(h: np.ndarray, width: int) -> np.ndarray:
     return least.view(np.int64)
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The low bytes of word hashes."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(words: bytes) -> list[int]:
+    x = np.zeros((len(words) // BYTES, 8), dtype=np.uint8)
+    x[:, :BYTES] = np.frombuffer(words, dtype=np.uint8).reshape(-1, BYTES)
+    return x.view("<u8").ravel().tolist()
+
+
 class SuffixAutomaton:
     """Of several word sequences, added in ascending order of their document; a state keeps the first document it occurs in."""
 
@@ -145,12 +161,12 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
             anchors = anchors_of(h, width)
             if not len(anchors):
                 continue
-            short = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+            short = packed(h)
             cuts = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1], [True])))
             starts = cuts[:-1]
             wanted = np.isin(anchors[starts], np.array(shared, dtype=np.int64))
             for s, e in zip(starts[wanted].tolist(), cuts[1:][wanted].tolist(), strict=True):
-                words = short[s : e + width - 1].tobytes()
+                words = short[BYTES * s : BYTES * (e + width - 1)]
                 out.append((doc, key, int(anchors[s]), xxhash.xxh3_64_intdigest(words) - (1 << 63), s, words))
         if out:
             yield dict(zip(("doc_id", "text_key", "anchor", "segment", "start", "words"), zip(*out, strict=True), strict=True))
@@ -159,9 +175,9 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _first_documents(distinct: DataFrame, width: int) -> DataFrame:
-    """(anchor, segment, firsts): for each window of a distinct segment, the first document that has it."""
+    """(anchor, segment, n_rows, firsts): for each window of a distinct segment, the first document that has it."""
     dealt = distinct.repartition(partitions(distinct.sparkSession), "anchor").sortWithinPartitions("anchor", "least", "segment")
-    schema = "anchor bigint, segment bigint, firsts array<bigint>"
+    schema = "anchor bigint, segment bigint, n_rows bigint, firsts array<bigint>"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -171,21 +187,21 @@ def _first_documents(distinct: DataFrame, width: int) -> DataFrame:
         shard, automaton, held = None, None, None
         for batch in batches:
             firsts = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "segment", "least", "words")]
-            for anchor, _, least, words in zip(*columns, strict=True):
-                n = len(words) // 4 - width + 1
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "segment", "n_rows", "least", "words")]
+            for anchor, _, _, least, words in zip(*columns, strict=True):
+                n = len(words) // BYTES - width + 1
                 if anchor != shard:
                     shard, automaton, held = anchor, None, (words, least)  # built only if a second segment comes
                     firsts.append([least] * n)
                     continue
                 if automaton is None:
                     automaton = SuffixAutomaton()
-                    automaton.add(np.frombuffer(held[0], dtype="<u4").tolist(), held[1])
-                own = np.frombuffer(words, dtype="<u4").tolist()
+                    automaton.add(unpacked(held[0]), held[1])
+                own = unpacked(words)
                 firsts.append([least if f is None else min(f, least) for f in automaton.first_documents(own, width)])
                 automaton.add(own, least)
             if firsts:
-                yield to_batch({"anchor": columns[0], "segment": columns[1], "firsts": firsts}, target)
+                yield to_batch({"anchor": columns[0], "segment": columns[1], "n_rows": columns[2], "firsts": firsts}, target)
 
     return dealt.mapInArrow(run, schema)
 
@@ -195,43 +211,64 @@ def _single_windows(distinct: DataFrame, width: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        rows = [(a, s, d, i, w[4 * i : 4 * (i + width)]) for a, s, d, w in zip(get("anchor"), get("segment"), get("least"), get("words"), strict=True) for i in range(len(w) // 4 - width + 1)]
+        rows = [(a, s, n, d, i, w[BYTES * i : BYTES * (i + width)]) for a, s, n, d, w in zip(get("anchor"), get("segment"), get("n_rows"), get("least"), get("words"), strict=True) for i in range(len(w) // BYTES - width + 1)]
         if rows:
-            yield dict(zip(("anchor", "segment", "least", "at", "window"), zip(*rows, strict=True), strict=True))
+            yield dict(zip(("anchor", "segment", "n_rows", "least", "at", "window"), zip(*rows, strict=True), strict=True))
+
+    windows = map_batches(distinct, run, "anchor bigint, segment bigint, n_rows bigint, least bigint, at int, window binary", rows=500)
+    total = int(distinct.agg(F.sum(F.octet_length("words") / BYTES - width + 1)).first()[0])
+    first = windows.groupBy("window").agg(F.min("least").alias("first"), F.count("*").alias("n_windows"))
+    placed = join_by_key(windows, first, ["window"], total, count="n_windows").groupBy("anchor", "segment", "n_rows").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("all"))  # a segment has width - GROUP + 1 windows, or few more
+    return placed.select("anchor", "segment", "n_rows", F.transform("all", lambda x: x["first"]).alias("firsts"))
 
-    windows = map_batches(distinct, run, "anchor bigint, segment bigint, least bigint, at int, window binary", rows=500)
-    first = windows.groupBy("window").agg(F.min("least").alias("first"))
-    placed = windows.join(first, "window").groupBy("anchor", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("all"))  # a segment has width - GROUP + 1 windows, or few more
-    return placed.select("anchor", "segment", F.transform("all", lambda x: x["first"]).alias("firsts"))
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that tells the texts of one id apart."""
+    return docs.withColumn("text_key", F.xxhash64("text"))
 
 
 def repeated_windows(docs: DataFrame, work: Written, width: int) -> DataFrame:
     """(doc_id, text_key, starts): the windows of each document that an earlier document has too."""
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("text_key", F.xxhash64("text"))
+    known = _keyed(docs.where(F.col("doc_id").isNotNull()))
     seen = _occurrences(known.select("doc_id", "text"), width)
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
+    counted = seen.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n_rows"))
+    shared = work.table(counted.where("x < y").select("anchor", "n_rows"), "shared")
+    total = shared.agg(F.sum("n_rows")).first()[0] or 0
     # one list for each document, no longer than its windows
-    wanted = work.table(seen.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    wanted = work.table(join_by_key(seen, shared, ["anchor"], total).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     segments = work.table(_segments(known.join(wanted, "doc_id").select("doc_id", "text_key", "text", "anchors"), width), "segments")
-    distinct = work.table(segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "shards")
+    work.drop(keep=1)
+    distinct = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.count("*").alias("n_rows"))
+    distinct = work.table(distinct, "shards")
     large = work.table(distinct.groupBy("anchor").count().where(F.col("count") > SHARD).select("anchor"), "large")
     firsts = _first_documents(distinct.join(large, "anchor", "left_anti"), width)
     if large.limit(1).count():
         firsts = firsts.unionByName(_single_windows(distinct.join(large, "anchor", "left_semi"), width))
     firsts = work.table(firsts, "firsts")
-    flagged = segments.select("doc_id", "text_key", "anchor", "segment", "start").join(firsts, ["anchor", "segment"])
+    own = segments.select("doc_id", "text_key", "anchor", "segment", "start")
+    flagged = join_by_key(own, firsts, ["anchor", "segment"], segments.count())
     at = F.expr("filter(transform(firsts, (f, i) -> if(f < doc_id, start + i, -1)), x -> x >= 0)")
     some = flagged.select("doc_id", "text_key", at.alias("at")).where(F.size("at") > 0)
-    return work.table(some.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("at")).alias("starts")), "flags")
+    # a set: repeated rows give their windows once
+    return work.table(some.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("at")).alias("starts")), "flags")
 
 
-def covered(n_words: int, starts: list[int], width: int) -> np.ndarray:
-    """Which words lie under one of the windows."""
-    edges = np.zeros(n_words + 1, dtype=np.int64)
+def spans(starts: list[int], width: int) -> list[tuple[int, int]]:
+    """The maximal spans of words, from begin to before end, that the windows cover."""
     at = np.unique(np.array(starts, dtype=np.int64))
-    edges[at] += 1
-    np.subtract.at(edges, at + width, 1)
-    return np.cumsum(edges)[:n_words] > 0
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > width)  # windows that touch or overlap make one span
+    return list(zip(at[np.concatenate(([0], cuts + 1))].tolist(), (at[np.concatenate((cuts, [len(at) - 1]))] + width).tolist(), strict=True))
+
+
+def without(words: list[bytes], starts: list[int], width: int) -> list[bytes]:
+    """``words`` without their repeated spans."""
+    kept, at = [], 0
+    for begin, end in spans(starts, width):
+        kept += words[at:begin]
+        at = end
+    return kept + words[at:]
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -239,7 +276,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     work = Written(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     flags = repeated_windows(plain, work, width)
-    joined = plain.withColumn("text_key", F.xxhash64("text")).join(flags, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
+    joined = _keyed(plain).join(flags, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
 
     def run(batch: pa.RecordBatch):
         n, removed, digest, texts = [], [], [], []
@@ -247,8 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             words = text.split()
             n.append(len(words))
             if starts:
-                gone = covered(len(words), starts, width)
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                words = without(words, starts, width)
             kept = b" ".join(words)
             removed.append(n[-1] - len(words))
             digest.append(hashlib.sha256(kept).hexdigest())
@@ -272,9 +308,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         lengths = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else []
         for k, starts in enumerate(batch.column(len(names)).to_pylist()):
             if starts:
-                words = texts[k].encode().split()
-                gone = covered(len(words), starts, width).tolist()
-                texts[k] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()
+                texts[k] = b" ".join(without(texts[k].encode().split(), starts, width)).decode()
                 if lengths:
                     lengths[k] = len(texts[k])
         changed = {"text": texts, "n_chars": lengths}

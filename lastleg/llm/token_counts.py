@@ -2,17 +2,17 @@
 
 A pre-token is a run of bytes other than ASCII white space, with a word-start
 mark before it. Its token count is that of the segmentation with the highest
-sum of piece scores (ties: the shorter last piece). The distinct pre-tokens of
-a batch are visited in the order of a trie walk, so the forward scores of a
-prefix are computed once for all pre-tokens that share it; a terminal keeps
-the count. Characters outside the vocabulary cost their UTF-8 bytes, one token
+sum of piece scores (ties: the shorter last piece). Distinct pre-tokens are
+inserted into a trie whose nodes keep the forward scores of their prefix, so
+these are computed once for all pre-tokens that share it; a terminal keeps the
+count. A worker keeps its trie from batch to batch, up to a bounded size. Characters outside the vocabulary cost their UTF-8 bytes, one token
 each.
 
 The model is a piece list with scores; ``zipf_pieces`` reads a public
 vocabulary and scores a piece of rank r by -ln(r + 1), its frequency rank.
 
 Null and empty texts have no pre-tokens and 0 tokens; repeated rows give equal
-rows; other columns are ignored.
+rows; a null id stays null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from lastleg.llm.common import CACHE_ENTRIES, map_batches, texts_of
 WORD_START = "▁"
 #: Score of one byte of a character outside the vocabulary.
 BYTE_SCORE = -20.0
+#: Nodes after which a worker begins a new trie; characters of a pre-token beyond which nothing is shared.
+TRIE_NODES, DEPTH = 400_000, 64
 
 
 def zipf_pieces(path: str) -> dict[str, float]:
@@ -41,44 +43,59 @@ def zipf_pieces(path: str) -> dict[str, float]:
 
 
 class TrieCounter:
+    """Token counts of pre-tokens in a trie that a worker keeps from batch to batch.
+
+    Node n stands for a prefix: ``score[n]`` and ``tokens[n]`` are its forward
+    score and the tokens of its best segmentation, ``child`` leads from a node
+    and a character to the next node. ``known`` holds the terminals' counts.
+    """
+
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.score, self.tokens = [0.0], [0]
         self.known: dict[bytes, int] = {}
 
-    def _extend(self, word: str, end: int, score: list[float], count: list[int]) -> None:
-        """Forward score and token count of word[:end], from those of its prefixes."""
+    def _step(self, word: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Forward score and token count of ``word[:end]``, from those of its prefixes."""
         width = len(word[end - 1].encode())
-        best, tokens = score[end - 1] + BYTE_SCORE * width, count[end - 1] + width
+        best, count = scores[end - 1] + BYTE_SCORE * width, counts[end - 1] + width
         for begin in range(end - 1, max(0, end - self.longest) - 1, -1):
             piece = self.pieces.get(word[begin:end])
-            if piece is not None and score[begin] + piece > best:
-                best, tokens = score[begin] + piece, count[begin] + 1
-        score.append(best)
-        count.append(tokens)
-
-    def learn(self, words: set[bytes]) -> dict[bytes, int]:
-        """Counts of new words, in the order of a walk over their trie."""
-        found, before = {}, ""
-        score, count = [0.0], [0]
-        for word, raw in sorted((WORD_START + w.decode("utf-8", "replace"), w) for w in words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                self._extend(word, end, score, count)
-            found[raw] = count[len(word)]
-            before = word
-        return found
+            if piece is not None and scores[begin] + piece > best:
+                best, count = scores[begin] + piece, counts[begin] + 1
+        return best, count
+
+    def insert(self, word: str) -> int:
+        """Follow ``word`` from the root and append the nodes that it lacks; the count at its end."""
+        scores, counts, node = [0.0], [0], 0
+        for end, letter in enumerate(word, start=1):
+            following = self.child.get((node, letter)) if end <= DEPTH else None
+            if following is not None:
+                scores.append(self.score[following])
+                counts.append(self.tokens[following])
+            else:
+                best, count = self._step(word, end, scores, counts)
+                scores.append(best)
+                counts.append(count)
+                if end <= DEPTH:
+                    following = self.child[node, letter] = len(self.score)
+                    self.score.append(best)
+                    self.tokens.append(count)
+            node = following
+        return counts[-1]
 
     def count(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
-        split = [t.split() for t in texts]
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        new = {w for w in set().union(*split) if w not in self.known}
-        self.known.update(self.learn(new))
-        get = self.known.__getitem__
+        if len(self.score) >= TRIE_NODES or len(self.known) >= CACHE_ENTRIES:
+            self._clear()
+        split, known = [t.split() for t in texts], self.known
+        for raw in set().union(*split).difference(known):
+            known[raw] = self.insert(WORD_START + raw.decode("utf-8", "replace"))
+        get = known.__getitem__
         return [len(w) for w in split], [sum(map(get, w)) for w in split]
 
 

@@ -12,8 +12,9 @@ The fit uses at most ``per_class`` labelled documents of each class; every
 text is scored whole. Null and empty texts get the score of no words at all
 (the bias), which is never above the toxic share of the sample: with few
 labels, texts without evidence are not toxic. Without labels of both classes
-every score is 0. A null id is not
-held out. Repeated rows get equal scores; other columns are never inputs.
+every score is 0. A null id is not held out. Repeated rows get equal scores,
+and an id that repeats in the sample counts once; other columns are never
+inputs. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -173,7 +174,8 @@ def scorer(broadcast, key: str) -> Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    return train(labelled_sample(docs, labels, "toxic", per_class, fold("doc_id", 5) != 0))
+    rows = labelled_sample(docs, labels, "toxic", per_class, fold("doc_id", 5) != 0).collect()  # 2 * per_class texts at most
+    return train([((r.text or "").encode(), r.y) for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 def _shared(docs: DataFrame, model):

@@ -159,16 +159,20 @@ def test_block_links_join_what_is_linked():
 
 
 def test_topk_with_ties_and_unsound_vectors(spark):
-    rows = [(i, [float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, [float("nan"), 1.0]), (62, [None, 1.0]), (None, [1.0, 1.0]), (63, [float("inf"), 0.0]), (5, [2.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, 10, 20).orderBy("query_id", "rank").collect()]
-    vectors = {i: [1024 * (i % 3), 1024] for i in range(60)}
+    """Ties, repeated ids (a query's other row is a candidate), vectors of two lengths, clashing columns."""
+    rows = [(i, [float(i % 3), 1.0]) for i in range(60)] + [(5, [2.0, 1.0]), (20, [9.0, 1.0]), (7, [1.0, 1.0]), (80, [1.0, 2.0, 3.0]), (81, [1.0, 0.0, 1.0])]
+    odd = [(60, None), (61, [float("nan"), 1.0]), (62, [None, 1.0]), (None, [1.0, 1.0]), (63, [float("inf"), 0.0]), (100, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").withColumns({c: F.lit("clash") for c in ("score", "row", "block", "lane", "query")})
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, 10, 20).collect())
     want = []
-    for q in (0, 20, 40):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    assert got == want
+    for n, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, v, strict=True)), i) for m, (i, v) in enumerate(rows) if m != n and len(v) == len(x))[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == sorted(want) and sum(q == 20 for q, *_ in got) == 20
     assert topk.top_k(df.where("false"), 10, 20).count() == 0
+    with pytest.raises(Exception, match="63 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id bigint, embedding array<double>"), 10, 20).count()
 
 
 def test_token_counts(spark, odd_texts):
