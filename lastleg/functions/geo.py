@@ -34,7 +34,44 @@ def in_ring_sql(lat: str, lon: str, ring: list[tuple[float, float]]) -> str:
     return f"({' + '.join(parts)}) % 2 = 1"
 
 
-def cell(coordinate: Column, metres: float, at_lat: float | None = None) -> Column:
-    """Grid index along one axis, cells at least ``metres`` wide; for longitudes give the largest latitude."""
-    degrees = metres / (EARTH_M * math.pi / 180 * (1 if at_lat is None else math.cos(math.radians(at_lat))))
-    return F.floor(coordinate / F.lit(degrees)).cast("bigint")
+class Grid:
+    """Cells on the globe for joins within a radius: bands of latitude, each cut into as many cells as it needs.
+
+    Two points within the radius are in the same or neighbouring bands, and in
+    either band's cells at most one apart, around the globe and at the poles
+    too.
+    """
+
+    def __init__(self, metres: float):
+        self.angle = min(metres / EARTH_M, math.pi / 2)
+        self.height = math.degrees(self.angle) * (1 + 1e-9)
+        self.bands = math.ceil(180.0 / self.height)
+
+    def band(self, lat: Column) -> Column:
+        return F.least(F.floor((lat + 90.0) / F.lit(self.height)).cast("bigint"), F.lit(self.bands - 1).cast("bigint"))
+
+    def _count(self, band: Column) -> Column:
+        """Cells of a band: each spans the longitudes that the radius does at the farthest latitude of the band's neighbours."""
+        south, north = (band - 1) * F.lit(self.height) - 90.0, (band + 2) * F.lit(self.height) - 90.0
+        far = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))
+        share = F.lit(math.sin(self.angle)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+        wide = F.degrees(F.asin(F.least(share, F.lit(1.0)))) * (1 + 1e-9)
+        return F.when((share >= 1.0) | (far >= 90.0), F.lit(1).cast("bigint")).otherwise(F.greatest(F.floor(360.0 / wide).cast("bigint"), F.lit(1).cast("bigint")))
+
+    def _column(self, lon: Column, count: Column) -> Column:
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * count).cast("bigint"), count)
+
+    def cell(self, lat: Column, lon: Column) -> Column:
+        """struct(y, x) of a point."""
+        band = self.band(lat)
+        return F.struct(band.alias("y"), self._column(lon, self._count(band)).alias("x"))
+
+    def around(self, lat: Column, lon: Column) -> Column:
+        """Distinct cells that hold every point within the radius, nine at most."""
+        own, found = self.band(lat), []
+        for dy in (-1, 0, 1):
+            band = own + dy
+            count = self._count(band)
+            for dx in (-1, 0, 1):
+                found.append(F.struct(band.alias("y"), F.pmod(self._column(lon, count) + dx, count).alias("x")))
+        return F.array_distinct(F.array(*found))

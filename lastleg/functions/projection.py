@@ -39,3 +39,12 @@ def from_utm(east: str, north: str, zone: int) -> tuple[str, str]:
     chi = f"asin(sin({xi})/cosh({eta}))"
     lat = chi + "".join(f" + {_lit(d)}*sin({_lit(2.0 * j)}*{chi})" for j, d in enumerate(_DELTA, start=1))
     return f"degrees({lat})", f"({_lit(6.0 * zone - 183)} + degrees(atan2(sinh({eta}), cos({xi}))))"
+
+
+def estimate_zone(frame, east: str, north: str, zones: tuple[int, ...], near: tuple[float, float]) -> int:
+    """The zone under which the middle of all points lies nearest to a known place (lon, lat)."""
+    from pyspark.sql import functions as F
+
+    middle = frame.agg(F.avg(east).alias("x"), F.avg(north).alias("y"))
+    places = middle.select(*(F.expr(part).alias(f"{name}{z}") for z in zones for name, part in zip(("lat", "lon"), from_utm("x", "y", z), strict=True))).first()
+    return min(zones, key=lambda z: math.hypot((places[f"lon{z}"] or 1e9) - near[0], (places[f"lat{z}"] or 1e9) - near[1]))

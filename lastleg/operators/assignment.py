@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from lastleg.functions.geo import EARTH_M, haversine_m
 
 
-def greedy_capacity(metres: np.ndarray, demand: np.ndarray, capacity: float) -> np.ndarray:
-    """Customers in row order take the nearest facility with room; -1 where none has. Unreachable (NaN) facilities come last."""
-    load = np.zeros(metres.shape[1])
+#: Customers whose ways to all facilities of their group are held at once.
+BLOCK = 4096
+
+
+def greedy_capacity(metres: np.ndarray, demand: np.ndarray, capacity: float, load: np.ndarray | None = None) -> np.ndarray:
+    """Customers in row order take the nearest facility with room; -1 where none has. Unreachable (NaN) facilities come last.
+
+    ``load`` is what the facilities hold already; it is changed.
+    """
+    load = np.zeros(metres.shape[1]) if load is None else load
     out = np.full(len(demand), -1)
     for k, need in enumerate(demand):
         free = np.flatnonzero(load + need <= capacity)
@@ -22,22 +29,29 @@ def greedy_capacity(metres: np.ndarray, demand: np.ndarray, capacity: float) ->
     return out
 
 
-def assign_capacity(customers: DataFrame, facilities: DataFrame, capacity: float, group: str = "section", site_group: str = "company") -> DataFrame:
-    """(customer_id, facility_id, distance_m), facility null where no room is left; every group is one sequential problem."""
+def assign_capacity(customers: DataFrame, facilities: DataFrame, capacity: float, group: str = "section", site_group: str = "company", strict: bool = False) -> DataFrame:
+    """(customer_id, facility_id, distance_m), facility null where no room is left (an error if ``strict``).
+
+    Every group is one sequential problem: a zone's customers, and rows of
+    ways to its facilities, BLOCK customers at a time.
+    """
 
     def run(c: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         c, f = c.sort_values("customer_id"), f.sort_values("facility_id")
         lat1, lon1, lat2, lon2 = (np.radians(x.to_numpy(float)) for x in (c["lat"], c["lon"], f["lat"], f["lon"]))
-        out = np.full(len(c), -1)
-        metres = np.zeros((len(c), len(f)))
-        if len(f):
-            a = np.sin((lat2 - lat1[:, None]) / 2) ** 2 + np.cos(lat1)[:, None] * np.cos(lat2) * np.sin((lon2 - lon1[:, None]) / 2) ** 2
+        demand, load = c["demand"].to_numpy(float), np.zeros(len(f))
+        out, far = np.full(len(c), -1), np.full(len(c), np.nan)
+        for at in range(0, len(c) if len(f) else 0, BLOCK):
+            y, x = lat1[at : at + BLOCK, None], lon1[at : at + BLOCK, None]
+            a = np.sin((lat2 - y) / 2) ** 2 + np.cos(y) * np.cos(lat2) * np.sin((lon2 - x) / 2) ** 2
             metres = np.round(2 * EARTH_M * np.arcsin(np.sqrt(a)), 3)
-            out = greedy_capacity(metres, c["demand"].to_numpy(float), capacity)
-        served = out >= 0
+            own = greedy_capacity(metres, demand[at : at + BLOCK], capacity, load)
+            out[at : at + BLOCK] = own
+            far[at : at + BLOCK] = np.where(own >= 0, metres[np.arange(len(own)), own], np.nan)
+        if strict and (out < 0).any():
+            raise ValueError(f"no room for customer {c['customer_id'].iloc[int(np.argmin(out))]}")
         ids = pd.array([int(f["facility_id"].iloc[k]) if k >= 0 else None for k in out], dtype="Int64")
-        far = [float(metres[i, k]) if ok else None for i, (k, ok) in enumerate(zip(out, served, strict=True))]
-        return pd.DataFrame({"customer_id": c["customer_id"].to_numpy(), "facility_id": ids, "distance_m": far})
+        return pd.DataFrame({"customer_id": c["customer_id"].to_numpy(), "facility_id": ids, "distance_m": [None if np.isnan(m) else float(m) for m in far]})
 
     left = customers.select(F.col(group).alias("_g"), "customer_id", "lat", "lon", "demand").groupBy("_g")
     right = facilities.select(F.col(site_group).alias("_g"), "facility_id", "lat", "lon").groupBy("_g")

@@ -93,14 +93,17 @@ SELECT x.event_id, coalesce(mult, 1.0)::DOUBLE AS multiplier FROM x LEFT JOIN r
     "rd",
 )
 def traffic_interval_priority(spark, d):
-    iv = spark.createDataFrame([(k, *row) for k, row in enumerate(_INTERVALS)], "pos int, profile string, zone string, days string, s string, e string, mult double")
-    iv = iv.withColumn("a", clock.parse_clock(F.col("s"))).withColumn("b", clock.parse_clock(F.col("e")))
-    x = T.readings(spark, d).select("event_id", F.concat(F.lit("zone_"), F.col("sensor_id") % 3).alias("z"), F.lower(F.date_format("ts", "EEEE")).alias("day"), (F.weekday("ts") >= 5).alias("weekend"), clock.minute_of_day(F.col("ts")).alias("m"))
-    fits = F.col("zone").isin("all") | (F.col("zone") == F.col("z"))
-    j = x.join(F.broadcast(iv), fits & clock.in_interval(F.col("m"), F.col("a"), F.col("b")), "left")
-    priority = F.when(F.col("days") == F.col("day"), 3).when(((F.col("days") == "weekend") & F.col("weekend")) | ((F.col("days") == "weekday") & ~F.col("weekend")), 2).when(F.col("days") == "all", 1)
-    rank = F.struct((F.col("zone") == F.col("z")).cast("int").alias("zm"), priority.alias("dp"), (-F.col("pos")).alias("p"))
-    return j.groupBy("event_id").agg(F.coalesce(F.max_by("mult", F.when(priority.isNotNull(), rank)), F.lit(1.0)).alias("multiplier"))
+    """The best interval of each reading, taken from a short literal list: no join and no shuffle."""
+    iv = [(z, w, clock.minutes(a), clock.minutes(b), m) for _, z, w, a, b, m in _INTERVALS]
+    zone, day, m = F.concat(F.lit("zone_"), F.col("sensor_id") % 3), F.lower(F.date_format("ts", "EEEE")), clock.minute_of_day(F.col("ts"))
+    x = T.readings(spark, d).select("event_id", zone.alias("z"), day.alias("day"), (F.weekday("ts") >= 5).alias("weekend"), m.alias("m"))
+    ranks = []
+    for pos, (z, w, a, b, mult) in enumerate(iv):
+        matched = F.lit(0) if z == "all" else F.lit(1)
+        fits = clock.in_interval(F.col("m"), F.lit(a), F.lit(b)) & (F.lit(True) if z == "all" else F.col("z") == z)
+        priority = F.when(F.col("day") == w, 3).when((F.lit(w) == "weekend") & F.col("weekend") | (F.lit(w) == "weekday") & ~F.col("weekend"), 2).when(F.lit(w) == "all", 1)
+        ranks.append(F.when(fits & priority.isNotNull(), F.struct(matched.alias("zm"), priority.alias("dp"), F.lit(-pos).alias("p"), F.lit(mult).alias("mult"))))
+    return x.select("event_id", F.coalesce(F.array_max(F.array(*ranks))["mult"], F.lit(1.0)).alias("multiplier"))
 
 
 # -- spatial ------------------------------------------------------------------
@@ -152,8 +155,8 @@ def nearest_same_company(spark, d):
 @query(f"WITH {_NEAR} SELECT b.i AS facility_id, count(*) AS customers, sum(demand)::BIGINT AS packages, round(max(b.d),3) AS farthest_m FROM n JOIN cust USING (customer_id) GROUP BY 1", "cust fac")
 def assign_unlimited(spark, d):
     c = T.customers(spark, d)
-    n = spatial.nearest(c, T.facilities(spark, d), "customer_id", "facility_id")
-    return n.join(c.select("customer_id", "demand"), "customer_id").groupBy("facility_id").agg(F.count("*").alias("customers"), F.sum("demand").alias("packages"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+    n = spatial.nearest(c, T.facilities(spark, d), "customer_id", "facility_id", carry=("demand",))
+    return n.groupBy("facility_id").agg(F.count("*").alias("customers"), F.sum("demand").alias("packages"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
 
 
 @query(f"WITH q AS (SELECT facility_id, {geo.haversine_sql('41.405::DOUBLE', '2.175::DOUBLE', 'lat', 'lon')} AS m FROM fac), k AS (SELECT facility_id, m, row_number() OVER (ORDER BY m, facility_id) AS n FROM q WHERE m<=5000), r AS (SELECT least(5000.0, 500.0+500.0*greatest(0, ceil((coalesce((SELECT m FROM k WHERE n=5),5000.0)-500)/500)))::DOUBLE AS radius_m) SELECT facility_id, round(m,3) AS distance_m, radius_m FROM k, r WHERE m<=radius_m", "fac")
@@ -279,14 +282,6 @@ def bands(spark, d):
 # -- entity resolution --------------------------------------------------------
 
 
-@query(f"SELECT a.facility_id AS id_1, b.facility_id AS id_2, CASE WHEN ga=gb AND ga>0 AND st THEN 'cluster: strong text' WHEN NOT (ga=gb AND ga>0) AND st THEN 'separate: other group' WHEN ga=gb AND ga>0 AND m<=15 THEN 'cluster: close' WHEN ga=gb AND ga>0 AND m<=30 THEN 'manual review' WHEN ga=gb AND ga>0 THEN 'other location' ELSE 'no relation' END AS rule FROM (SELECT *, CASE WHEN code IN (1,2,3,7) THEN 1 WHEN code=5 THEN 2 WHEN code IN (4,6) THEN 3 ELSE 0 END AS ga FROM fac) a JOIN (SELECT *, CASE WHEN code IN (1,2,3,7) THEN 1 WHEN code=5 THEN 2 WHEN code IN (4,6) THEN 3 ELSE 0 END AS gb FROM fac) b ON a.facility_id<b.facility_id, LATERAL (SELECT {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, a.company=b.company AS st) WHERE m<=1500", "fac")
-def pair_rules(spark, d):
-    p = spatial.pairs_within(T.facilities(spark, d), "facility_id", 1500.0)
-    g1, g2 = resolution.service_group(F.col("code_1")), resolution.service_group(F.col("code_2"))
-    rule = resolution.classify_pair((g1 == g2) & (g1 > 0), F.col("company_1") == F.col("company_2"), F.col("distance_m"))
-    return p.select(F.col("facility_id_1").alias("id_1"), F.col("facility_id_2").alias("id_2"), rule.alias("rule"))
-
-
 @query(f"WITH RECURSIVE e AS (SELECT a.facility_id AS a, b.facility_id AS b FROM fac a JOIN fac b ON a.facility_id<>b.facility_id WHERE {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}<=300), r AS (SELECT facility_id AS x, facility_id AS y FROM fac UNION SELECT x, b FROM r JOIN e ON y=a) SELECT x AS facility_id, min(y) AS component FROM r GROUP BY 1".replace("WITH RECURSIVE e", "WITH e"), "fac")
 def connected_components(spark, d):
     f = T.facilities(spark, d)
@@ -318,13 +313,6 @@ def company_type_counts(spark, d):
     return T.facilities(spark, d).groupBy("company", "code").agg(F.count("*").alias("n"))
 
 
-@query()
-def text_similarity(spark, d):
-    f = T.facilities(spark, d)
-    p = spatial.pairs_within(f, "facility_id", 500.0)
-    return p.select("facility_id_1", "facility_id_2", resolution.text_similarity("name_1", "name_2").alias("similarity"))
-
-
 # -- routes, costs and audit --------------------------------------------------
 
 _ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY line, customer_id, facility_id, load, price, day) AS position FROM st)"
@@ -355,9 +343,7 @@ def stop_sequence_roundtrip(spark, d):
 
 @query(f"WITH {_ORDERED} SELECT route_id, position, customer_id, CASE WHEN position=1 THEN 'facility' ELSE 'customer' END AS stop_type FROM o", "st")
 def route_stops_explode(spark, d):
-    packed = _positions(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("position", "customer_id"))).alias("s"))
-    out = packed.select("route_id", F.posexplode("s").alias("p", "x"))
-    return out.select("route_id", (F.col("p") + 1).alias("position"), "x.customer_id", F.when(F.col("p") == 0, "facility").otherwise("customer").alias("stop_type"))
+    return _positions(spark, d).select("route_id", "position", "customer_id", F.when(F.col("position") == 1, "facility").otherwise("customer").alias("stop_type"))
 
 
 @query("WITH s AS (SELECT facility_id, sum(load) AS q FROM st GROUP BY 1), v AS (SELECT facility_id, q, unnest(range(1, ceil(q/200)::BIGINT+1)) AS k FROM s) SELECT facility_id, k AS visit, least(200.0, q-(k-1)*200)::DOUBLE AS load FROM v", "st")
@@ -448,7 +434,7 @@ _PLAN = "p AS (SELECT facility_id, sum(km) AS km, sum(minutes) AS minutes, count
 @query(f"WITH {_PLAN} SELECT facility_id, round(km*0.25+greatest(0.0,minutes-routes*10.0)/60*12,6) AS m1, round(km*0.30+greatest(0.0,minutes-routes*10.0)/60*12,6) AS m2, round(km*0.42+greatest(0.0,minutes-routes*10.0)/60*12+packages*0.28,6) AS m3, round(greatest(0.0,minutes-routes*10.0)/60*12+packages*0.35,6) AS m4, round(packages*0.35,6) AS m5 FROM p", "st")
 def cost_models(spark, d):
     p = T.stops(spark, d).groupBy("facility_id").agg(F.sum("km").alias("km"), F.sum("minutes").alias("minutes"), F.countDistinct("route_id").alias("routes"), F.sum("load").alias("packages"))
-    return p.select("facility_id", *(F.round(c, 6).alias(m) for m, c in models.plan_costs(F.col("km"), F.col("minutes"), F.col("routes"), F.col("packages")).items()))
+    return p.select("facility_id", *(F.round(c, 6).alias(m) for m, c in cost.leg_costs(F.col("km"), F.col("minutes"), F.col("routes"), F.col("packages")).items()))
 
 
 @query("WITH p AS (SELECT route_id, max(day) AS ended, min(day) AS began, count(*) AS stops FROM st GROUP BY 1) SELECT year(began)::INT AS year, count(*) AS routes, count(*) FILTER (date_diff('day', began, ended)>365) AS late, max(date_diff('day', began, ended))::INT AS longest_days FROM p GROUP BY 1", "st")
@@ -458,16 +444,19 @@ def timeline_metrics(spark, d):
     return p.groupBy(F.year("began").alias("year")).agg(F.count("*").alias("routes"), F.count(F.when(days > 365, 1)).alias("late"), F.max(days).alias("longest_days"))
 
 
-@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice),2) AS total FROM orders GROUP BY 1,2")
+@query("WITH z AS (SELECT o_custkey%50 AS zone, count(*) AS runs, count(*) FILTER (o_orderstatus='F') AS done, count(*) FILTER (o_orderstatus='P') AS failed FROM orders GROUP BY 1) SELECT zone, runs, done, failed, CASE WHEN done=runs THEN 'completed' WHEN done>0 THEN 'partial' ELSE 'failed' END AS status FROM z")
 def status_rollup(spark, d):
-    return T.table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """A zone's runs: completed if all are, partial if some, failed if none."""
+    o = T.table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("zone"))
+    z = o.agg(F.count("*").alias("runs"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("done"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("failed"))
+    return z.withColumn("status", F.when(F.col("done") == F.col("runs"), "completed").when(F.col("done") > 0, "partial").otherwise("failed"))
 
 
 # -- assignment, plans and exports --------------------------------------------
 
 # Distribution centres (name, lat, lon) and static profiles (profile, city, multiplier).
 CENTRES = [("north", 41.43, 2.16), ("port", 41.36, 2.17), ("river", 41.41, 2.21), ("west", 41.39, 2.11)]
-STATIC = [("driving", "all", 1.2), ("driving", "SPAIN", 1.35), ("driving", "FRANCE", 1.1), ("cycling", "all", 1.05), ("cycling", "SPAIN", 1.0)]
+STATIC = [("driving", "all", 1.2), ("driving", "NATION_3", 1.35), ("driving", "NATION_6", 1.1), ("cycling", "all", 1.05), ("cycling", "NATION_3", 1.0)]
 
 
 @query("WITH x AS (SELECT customer_id, least(" + ", ".join(f"{{'m': round({geo.haversine_sql(f'{y}::DOUBLE', f'{x}::DOUBLE', 'lat', 'lon')}*1.3::DOUBLE+{geo.haversine_sql(f'{y}::DOUBLE', f'{x}::DOUBLE', 'lat', 'lon')}*1.4::DOUBLE,3), 'name': '{n}'}}" for n, y, x in CENTRES) + ") AS b FROM cust) SELECT customer_id, b.name AS centre, b.m AS way_m FROM x", "cust")
@@ -484,31 +473,20 @@ def static_profile_pick(spark, d):
     return n.groupBy("n_nationkey", "p.profile").agg(F.max_by("p.mult", F.when(F.col("p.city") == "all", 0).otherwise(1)).alias("multiplier"))
 
 
-@query()
-def assign_capacity(spark, d):
-    return assignment.assign_capacity(T.customers(spark, d), T.facilities(spark, d), 120.0)
+_FREE = f"{{'d': round({geo.haversine_sql('lat', 'lon', 'fs[j].lat', 'fs[j].lon')},3), 'j': j, 'room': loads[j]+demand<=120}}"
 
 
-_SCORE = "CASE WHEN m<=5 THEN 40 WHEN m<=10 THEN 30 WHEN m<=20 THEN 20 WHEN m<=30 THEN 10 ELSE 0 END + CASE WHEN same THEN 30 ELSE 0 END + CASE WHEN sim>=90 THEN 20 WHEN sim>=75 THEN 10 ELSE 0 END + CASE WHEN sim>=90 THEN 10 WHEN sim>=75 THEN 5 ELSE 0 END"
-_PAIRS = f"q AS (SELECT a.facility_id AS id_1, b.facility_id AS id_2, {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, a.company=b.company AS same, 100.0::DOUBLE*(1-levenshtein(a.name, b.name)/greatest(length(a.name), length(b.name))::DOUBLE) AS sim FROM fac a JOIN fac b ON a.facility_id<b.facility_id)"
-
-
-@query(f"WITH {_PAIRS}, r AS (SELECT *, ({_SCORE})::INT AS score FROM q WHERE m<=1500) SELECT id_1, id_2, score, CASE WHEN NOT same THEN 'Co-location / nearby competitors' WHEN score>=80 THEN 'Very probable duplicate' WHEN score>=60 THEN 'Probable duplicate' WHEN score>=45 THEN 'Manual review' ELSE 'Nearby same company' END AS label FROM r", "fac")
-def duplicate_score(spark, d):
-    p = spatial.pairs_within(T.facilities(spark, d), "facility_id", 1500.0)
-    longest = F.greatest(F.length("name_1"), F.length("name_2")).cast("double")
-    similar = 100.0 * (1 - F.levenshtein("name_1", "name_2") / longest)
-    same = F.col("company_1") == F.col("company_2")
-    score = resolution.duplicate_score(F.col("distance_m"), same, similar, similar)
-    return p.select(F.col("facility_id_1").alias("id_1"), F.col("facility_id_2").alias("id_2"), score.alias("score"), resolution.duplicate_label(same, score).alias("label"))
-
-
-@query("SELECT facility_id, upper(left(n_name, 3)) || '_LOC_' || lpad((dense_rank() OVER (PARTITION BY n_name ORDER BY f.lat, f.lon))::VARCHAR, 6, '0') AS location FROM fac f JOIN nation ON n_nationkey=company", "fac")
-def cluster_numbering(spark, d):
-    """Numbers within a city, in the order of the places."""
-    n = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("company"), "n_name")
-    rank = F.dense_rank().over(Window.partitionBy("n_name").orderBy("lat", "lon"))
-    return T.facilities(spark, d).join(n, "company").select("facility_id", F.format_string("%s_LOC_%06d", F.upper(F.substring("n_name", 1, 3)), rank).alias("location"))
+@query(
+    f"""WITH RECURSIVE {T.SQL['cust']}, {T.SQL['fac']}, fl AS (SELECT company AS section, list({{'i': facility_id, 'lat': lat, 'lon': lon}} ORDER BY facility_id) AS fs FROM fac GROUP BY 1), ck AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY customer_id) AS k FROM cust),
+t AS (SELECT section, fs, list_transform(fs, lambda f: 0::DOUBLE) AS loads, 0::BIGINT AS k, NULL::BIGINT AS customer_id, NULL::BIGINT AS facility_id, NULL::DOUBLE AS distance_m FROM fl
+UNION ALL SELECT section, fs, list_transform(range(1, len(fs)+1), lambda j: loads[j] + CASE WHEN j=b.j THEN demand ELSE 0 END), k, customer_id, fs[b.j].i, b.d FROM
+(SELECT t.section, fs, loads, ck.k, ck.customer_id, demand, list_sort(list_filter(list_transform(range(1, len(fs)+1), lambda j: {_FREE}), lambda x: x.room))[1] AS b FROM t JOIN ck ON ck.section=t.section AND ck.k=t.k+1))
+SELECT customer_id, facility_id IS NOT NULL AS served, coalesce(facility_id, -1) AS facility_id, coalesce(distance_m, -1) AS distance_m FROM t WHERE k>0 UNION ALL SELECT customer_id, false, -1, -1 FROM cust WHERE section NOT IN (SELECT section FROM fl)"""
+)
+def assign_capacity(spark, d):
+    """Customers of a section take, in order, the nearest facility of its company that has room for them."""
+    a = assignment.assign_capacity(T.customers(spark, d), T.facilities(spark, d), 120.0)
+    return a.select("customer_id", F.col("facility_id").isNotNull().alias("served"), F.coalesce("facility_id", F.lit(-1)).alias("facility_id"), F.coalesce("distance_m", F.lit(-1.0)).alias("distance_m"))
 
 
 @query("WITH c AS (SELECT company, code, min(facility_id) AS i FROM fac GROUP BY 1, 2) SELECT company, min(i) AS id_final, string_agg(code::VARCHAR, ' + ' ORDER BY i) AS codes, sum(CASE code WHEN 1 THEN 60 WHEN 2 THEN 120 WHEN 3 THEN 120 WHEN 4 THEN 500 WHEN 5 THEN 300 WHEN 6 THEN 500 WHEN 7 THEN 120 ELSE 0 END)::BIGINT AS capacity FROM c GROUP BY 1", "fac")
@@ -606,24 +584,30 @@ def cost_components(spark, d):
 # -- kernels (rows only) ------------------------------------------------------
 
 
-def _problems(spark, d):
-    c = T.customers(spark, d).withColumn("problem_id", F.floor(F.col("customer_id") / 40).cast("bigint"))
+def _problems(spark, d, size: int = 1000):
+    """Routing problems of ``size`` customers each."""
+    c = T.customers(spark, d).withColumn("problem_id", F.floor(F.col("customer_id") / size).cast("bigint"))
     return c.select("problem_id", F.col("customer_id").alias("client_id"), "lat", "lon", "demand", F.lit(41.405).alias("depot_lat"), F.lit(2.175).alias("depot_lon"))
 
 
 @query()
 def routes_cws(spark, d):
-    return routing.solve(_problems(spark, d))
+    """Savings routes of problems of a thousand customers."""
+    return routing.stops_of(routing.solve(_problems(spark, d)))
 
 
 @query()
 def routes_ils(spark, d):
-    return routing.solve(_problems(spark, d), improve=True)
+    """Iterated local search, 100 tries or 20 without success, on problems of a hundred customers."""
+    return routing.stops_of(routing.solve(_problems(spark, d, 100), improve=True))
 
 
 @query()
 def models_compare(spark, d):
-    return models.compare(routing.solve(_problems(spark, d)), T.customers(spark, d))
+    """The five models over zones of a thousand customers: all legs routed."""
+    c = T.customers(spark, d).withColumns({"zone": F.floor(F.col("customer_id") / 1000).cast("bigint"), "snap_m": (F.col("customer_id") % 90).cast("double")})
+    f = T.facilities(spark, d).withColumn("group", resolution.service_group(F.col("code")))
+    return models.compare_all(c, f, (41.405, 2.175))
 
 
-from lastleg import matrix_queries  # noqa: E402, F401  registers its queries
+from lastleg import matrix_queries, plan_queries, scan_queries, text_queries, zone_queries  # noqa: E402, F401  register their queries

@@ -81,6 +81,104 @@ def read_geojson_points(spark: SparkSession, path: str, properties: str, multili
     return points.select(F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"), "f.properties.*")
 
 
+def read_geojson_polygons(spark: SparkSession, path: str, properties: str, multiline: bool = True) -> DataFrame:
+    """The properties (a DDL list) and the rings of polygon and multipolygon features: a collection in each file, or one feature in each line."""
+    from lastleg.operators.zones import rings_from_coordinates
+
+    feature = f"type string, properties struct<{properties}>, geometry struct<type: string, coordinates: string>"
+    whole = spark.read.schema(f"features array<struct<{feature}>>, {feature}").json(path, multiLine=multiline)
+    each = whole.select(F.explode(F.coalesce("features", F.array(F.struct("type", "properties", "geometry")))).alias("f"))
+    shapes = each.where(F.col("f.geometry.type").isin("Polygon", "MultiPolygon"))
+    return shapes.select("f.properties.*", rings_from_coordinates(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("rings"))
+
+
+def read_offices(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (id, kind, name, lat) of the offices that documents hold under others.offices; private ones are named by their number."""
+    office = "struct<id: bigint, isPrivate: boolean, title: string, position: struct<lat: double>>"
+    o = spark.read.schema(f"others struct<offices: array<{office}>>").json(path).select(F.explode("others.offices").alias("o")).select("o.*")
+    digits = F.col("id").cast("string")
+    number = F.concat(F.lit("OP"), F.when(F.length(digits) >= 5, digits).otherwise(F.lpad(digits, 5, "0")))
+    return o.select("id", F.when(F.col("isPrivate"), "private").otherwise("office").alias("kind"), F.when(F.col("isPrivate"), number).otherwise(F.col("title")).alias("name"), F.col("position.lat").alias("lat"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def resolve_instance(spark: SparkSession, folder: str, city: str, scenario: str, size: int, instance: str | None = None, seed: int | None = None) -> str:
+    """The file of a demand instance: by its id, else by its seed, else by the old name without one."""
+    names = [instance] if instance else []
+    names += [f"{city}_{scenario}_{size}_{seed}"] if seed is not None else []
+    for name in [*names, f"{city}_{scenario}_{size}"]:
+        if exists(spark, f"{folder}/{name}.csv"):
+            return f"{folder}/{name}.csv"
+        if name == instance:
+            break  # an id that is given must be there
+    raise FileNotFoundError(f"{folder} has no demand of {city}, {scenario}, {size}")
+
+
+def by_header(spark: SparkSession, paths: list[str], kinds: dict[str, set[str]]) -> dict[str, DataFrame]:
+    """Tables by kind: a file is of the first kind whose columns its header has; the rows of a kind are one table."""
+    found: dict[str, DataFrame] = {}
+    for path in paths:
+        frame = read_csv(spark, path)
+        kind = next((k for k, need in kinds.items() if need <= set(frame.columns)), None)
+        if kind:
+            found[kind] = frame if kind not in found else found[kind].unionByName(frame, allowMissingColumns=True)
+    return found
+
+
+def gazetteer(records: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    """(label, lat, lon): every text of the named columns with its row's place; the first row and column wins."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.trim(F.col(c)).alias("label")) for k, c in enumerate(names))))
+    rows = records.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*order, "lat", "lon", each.alias("x")).where(F.coalesce("x.label", F.lit("")) != "")
+    first = F.struct(*order, "x.k")
+    return rows.groupBy("x.label").agg(F.min_by(F.struct("lat", "lon"), first).alias("p")).select("label", "p.lat", "p.lon")
+
+
+class CountingSource:
+    """A paged source that holds rows 1 to n, for tests and examples: fetch(offset, limit) gives rows in a stable order."""
+
+    schema = "id bigint, lon double"
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def fetch(self, offset: int, limit: int) -> list[tuple]:
+        return [(k + 1, 2.0) for k in range(offset, min(self.n, offset + limit))]
+
+
+def read_pages(spark: SparkSession, source, page: int = 2000, tries: int = 3, wave: int = 64) -> DataFrame:
+    """All rows of a paged source: waves of pages, one page a task, until a page is short. A page that fails is tried again."""
+
+    def fetch(frames):
+        import pandas as pd
+
+        names = [c.split()[0] for c in source.schema.split(", ")]
+        for frame in frames:
+            for offset in frame["offset"]:
+                for left in range(tries - 1, -1, -1):
+                    try:
+                        rows = source.fetch(int(offset), page)
+                        break
+                    except OSError:
+                        if not left:
+                            raise
+                yield pd.DataFrame(rows, columns=names)
+
+    out, at = None, 0
+    while True:
+        from lastleg.operators.lineage import cut
+
+        offsets = spark.range(at, at + wave).select((F.col("id") * page).alias("offset")).repartition(wave, "offset")
+        rows = cut(offsets.mapInPandas(fetch, source.schema))
+        out = rows if out is None else out.unionByName(rows)
+        if rows.count() < wave * page:
+            return out
+        at += wave
+
+
 def load_config(path: str, kind: type):
     """A dataclass from a JSON object; unknown keys and missing fields without a default are errors."""
     with open(path, encoding="utf-8-sig") as f:

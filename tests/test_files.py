@@ -92,3 +92,18 @@ def test_projection(spark):
     rows = flat.select("*", F.expr(lat).alias("lat2"), F.expr(lon).alias("lon2")).collect()
     assert abs(rows[0].x - 500_000) < 1e-3 and abs(rows[0].y - 0.9996 * 4_429_529.03) < 0.01 and abs(rows[2].y) < 1e-6
     assert all(abs(r.lat - r.lat2) < 1e-8 and abs(r.lon - r.lon2) < 1e-8 for r in rows)
+
+
+def test_experiments_from_a_file_and_overrides(tmp_path):
+    import json
+
+    from lastleg.plans import experiment as E
+
+    path = tmp_path / "e.json"
+    path.write_text(json.dumps({"city": "Porto", "zones": ["Old"], "demand_seed": [1, 2]}))
+    got = E.resolved(["--config", str(path), "--set", "customers=50", "--set", 'models=["M1"]'])
+    assert [(x.demand_seed, x.search_seed, x.customers, x.models) for x in got] == [(1, 42, 50, ["M1"]), (2, 42, 50, ["M1"])]
+    assert E.folder_name(got[1]) == "porto_low_50_2_42"
+    for bad in ('models=["M9"]', "zones=[]", 'scenario="odd"', "speed=1"):
+        with pytest.raises(ValueError):
+            E.resolved(["--config", str(path), "--set", bad])
