@@ -29,7 +29,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,8 @@ from lastleg.llm.common import Written, WordHashes, join_by_key, map_batches, mi
 WIDTH, GROUP = 13, 5
 #: Bytes of a word's hash that segments keep. Two windows of one anchor that differ in one word are taken for equal with a chance of 2^-40.
 BYTES = 5
-#: Distinct segments of one anchor that one automaton takes.
-SHARD = 2048
+#: Distinct segments of one anchor that one automaton takes: some 300,000 states, a few hundred bytes each.
+SHARD = 1 << 14
 
 _hashes = WordHashes()
 _multipliers = mix64(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -62,15 +61,19 @@ def anchors_of(h: np.ndarray, width: int) -> np.ndarray:
     return least.view(np.int64)
 
 
-def packed(h: np.ndarray) -> bytes:
-    """The low bytes of word hashes."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+def packed(h: np.ndarray) -> np.ndarray:
+    """The low bytes of word hashes, a row for each word."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
 
 
-def unpacked(words: bytes) -> list[int]:
-    x = np.zeros((len(words) // BYTES, 8), dtype=np.uint8)
-    x[:, :BYTES] = np.frombuffer(words, dtype=np.uint8).reshape(-1, BYTES)
-    return x.view("<u8").ravel().tolist()
+def unpacked(words: pa.Array) -> tuple[list[int], list[int]]:
+    """The words of a column of segments, one after another, and where each segment begins and the last ends."""
+    whole = words.cast(pa.binary())
+    offsets = np.frombuffer(whole.buffers()[1], dtype="<i4")[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    raw = np.frombuffer(whole.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(whole) else np.zeros(0, dtype=np.uint8)
+    x = np.zeros((len(raw) // BYTES, 8), dtype=np.uint8)
+    x[:, :BYTES] = raw.reshape(-1, BYTES)
+    return x.view("<u8").ravel().tolist(), ((offsets - offsets[0]) // BYTES).tolist()
 
 
 class SuffixAutomaton:
@@ -147,31 +150,42 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, run, "anchor bigint, doc_id bigint", rows=500)
 
 
-SEGMENT = "doc_id bigint, text_key bigint, anchor bigint, segment bigint, start int, words binary"
+SEGMENT = "doc_id bigint, text_key bigint, anchor bigint, start int, words binary"
 
 
 def _segments(docs: DataFrame, width: int) -> DataFrame:
-    """Runs of windows with one of the document's shared anchors."""
+    """Runs of windows with one of the document's shared anchors; equal runs have equal ``segment``."""
 
     def run(batch: pa.RecordBatch):
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        out = []
+        ids, keys, hashes, anchor, starts, ends, at = [], [], [], [], [], [], 0
         for doc, key, text, shared in zip(get("doc_id"), get("text_key"), texts_of(batch), get("anchors"), strict=True):
             h = _hashes.of(text.split())
             anchors = anchors_of(h, width)
             if not len(anchors):
                 continue
-            short = packed(h)
             cuts = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1], [True])))
-            starts = cuts[:-1]
-            wanted = np.isin(anchors[starts], np.array(shared, dtype=np.int64))
-            for s, e in zip(starts[wanted].tolist(), cuts[1:][wanted].tolist(), strict=True):
-                words = short[BYTES * s : BYTES * (e + width - 1)]
-                out.append((doc, key, int(anchors[s]), xxhash.xxh3_64_intdigest(words) - (1 << 63), s, words))
-        if out:
-            yield dict(zip(("doc_id", "text_key", "anchor", "segment", "start", "words"), zip(*out, strict=True), strict=True))
-
-    return map_batches(docs, run, SEGMENT, rows=500)
+            wanted = np.isin(anchors[cuts[:-1]], np.array(shared, dtype=np.int64))
+            first = cuts[:-1][wanted]
+            ids.append(np.full(len(first), doc, dtype=np.int64))
+            keys.append(np.full(len(first), key, dtype=np.int64))
+            hashes.append(h)
+            anchor.append(anchors[first])
+            starts.append((first, first + at))
+            ends.append(cuts[1:][wanted] + at + width - 1)
+            at += len(h)
+        if not hashes:
+            return
+        begin, end = np.concatenate([g for _, g in starts]), np.concatenate(ends)
+        sizes = end - begin
+        upto = np.cumsum(sizes)
+        taken = np.repeat(begin - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        raw = np.ascontiguousarray(packed(np.concatenate(hashes))[taken])
+        offsets = np.concatenate(([0], upto * BYTES)).astype("<i4")
+        words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+        yield {"doc_id": pa.array(np.concatenate(ids)), "text_key": pa.array(np.concatenate(keys)), "anchor": pa.array(np.concatenate(anchor)), "start": pa.array(np.concatenate([f for f, _ in starts]).astype(np.int32)), "words": words}
+
+    return map_batches(docs, run, SEGMENT, rows=500).withColumn("segment", F.xxhash64("words"))
 
 
 def _first_documents(distinct: DataFrame, width: int) -> DataFrame:
@@ -186,22 +200,21 @@ def _first_documents(distinct: DataFrame, width: int) -> DataFrame:
     def run(batches):
         shard, automaton, held = None, None, None
         for batch in batches:
-            firsts = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "segment", "n_rows", "least", "words")]
-            for anchor, _, _, least, words in zip(*columns, strict=True):
-                n = len(words) // BYTES - width + 1
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            firsts, (words, edges) = [], unpacked(column("words"))
+            for k, (anchor, least) in enumerate(zip(column("anchor").to_pylist(), column("least").to_pylist(), strict=True)):
+                own = words[edges[k] : edges[k + 1]]
                 if anchor != shard:
-                    shard, automaton, held = anchor, None, (words, least)  # built only if a second segment comes
-                    firsts.append([least] * n)
+                    shard, automaton, held = anchor, None, (own, least)  # built only if a second segment comes
+                    firsts.append([least] * (len(own) - width + 1))
                     continue
                 if automaton is None:
                     automaton = SuffixAutomaton()
-                    automaton.add(unpacked(held[0]), held[1])
-                own = unpacked(words)
-                firsts.append([least if f is None else min(f, least) for f in automaton.first_documents(own, width)])
+                    automaton.add(*held)
+                firsts.append([least if f is None or f > least else f for f in automaton.first_documents(own, width)])
                 automaton.add(own, least)
             if firsts:
-                yield to_batch({"anchor": columns[0], "segment": columns[1], "n_rows": columns[2], "firsts": firsts}, target)
+                yield to_batch({c: column(c) for c in ("anchor", "segment", "n_rows")} | {"firsts": firsts}, target)
 
     return dealt.mapInArrow(run, schema)
 
@@ -230,12 +243,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, work: Written, width: int) -> DataFrame:
     """(doc_id, text_key, starts): the windows of each document that an earlier document has too."""
     known = _keyed(docs.where(F.col("doc_id").isNotNull()))
-    seen = _occurrences(known.select("doc_id", "text"), width)
+    seen = work.table(_occurrences(known.select("doc_id", "text"), width), "seen")
     counted = seen.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n_rows"))
     shared = work.table(counted.where("x < y").select("anchor", "n_rows"), "shared")
     total = shared.agg(F.sum("n_rows")).first()[0] or 0
     # one list for each document, no longer than its windows
     wanted = work.table(join_by_key(seen, shared, ["anchor"], total).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    work.drop(keep=1)
     segments = work.table(_segments(known.join(wanted, "doc_id").select("doc_id", "text_key", "text", "anchors"), width), "segments")
     work.drop(keep=1)
     distinct = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.count("*").alias("n_rows"))
