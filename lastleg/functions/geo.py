@@ -51,12 +51,13 @@ class Grid:
         return F.least(F.floor((lat + 90.0) / F.lit(self.height)).cast("bigint"), F.lit(self.bands - 1).cast("bigint"))
 
     def _count(self, band: Column) -> Column:
-        """Cells of a band: each spans the longitudes that the radius does at the farthest latitude of the band's neighbours."""
-        south, north = (band - 1) * F.lit(self.height) - 90.0, (band + 2) * F.lit(self.height) - 90.0
-        far = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))
-        share = F.lit(math.sin(self.angle)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
-        wide = F.degrees(F.asin(F.least(share, F.lit(1.0)))) * (1 + 1e-9)
-        return F.when((share >= 1.0) | (far >= 90.0), F.lit(1).cast("bigint")).otherwise(F.greatest(F.floor(360.0 / wide).cast("bigint"), F.lit(1).cast("bigint")))
+        """Cells of a band: each spans the longitudes that the radius does at the farthest latitude of the band's neighbours.
+
+        That is asin(sin r / cos lat), which is at most pi / 2 times its argument.
+        """
+        middle = F.abs(band * F.lit(self.height) - F.lit(90.0 - self.height / 2))
+        far = F.least(middle + F.lit(1.5 * self.height), F.lit(90.0))
+        return F.greatest(F.floor(F.cos(F.radians(far)) * F.lit(4.0 / math.sin(self.angle) * (1 - 1e-9))), F.lit(1)).cast("bigint")
 
     def _column(self, lon: Column, count: Column) -> Column:
         return F.pmod(F.floor((lon + 180.0) / 360.0 * count).cast("bigint"), count)

@@ -398,7 +398,7 @@ def summary_with_detail(spark, d):
 _STATUS = "a AS (SELECT id, n, CASE WHEN id%17=0 THEN 'unroutable' WHEN n=0 THEN 'unassigned' WHEN n=1 THEN 'assigned' ELSE 'duplicated' END AS status FROM (SELECT c_custkey AS id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1))"
 
 
-@query(f"WITH {_STATUS} SELECT status, count(*) AS customers, sum(1+id%5)::BIGINT AS packages, sum((1+id%5)*n)::BIGINT AS routed, sum((1+id%5)*(n-1)) FILTER (n>1)::BIGINT AS surplus, min(id) AS first_id, max(id) AS last_id, array_to_string(list(id ORDER BY id)[1:20], ',') AS ids, round(100.0*count(*)/(SELECT count(*) FROM a),6)::DOUBLE AS share, max(n) AS most_visits, min(n) AS least_visits FROM a GROUP BY 1")
+@query(f"WITH {_STATUS} SELECT status, count(*) AS customers, sum(1+id%5)::BIGINT AS packages, sum((1+id%5)*n)::BIGINT AS routed, coalesce(sum((1+id%5)*(n-1)) FILTER (n>1), 0)::BIGINT AS surplus, min(id) AS first_id, max(id) AS last_id, array_to_string(list(id ORDER BY id)[1:20], ',') AS ids, round(100.0*count(*)/(SELECT count(*) FROM a),6)::DOUBLE AS share, max(n) AS most_visits, min(n) AS least_visits FROM a GROUP BY 1")
 def integrity_by_status(spark, d):
     """Packages, visits, shares and the first twenty ids of every status."""
     from lastleg.queries import _audit
@@ -407,7 +407,7 @@ def integrity_by_status(spark, d):
     need = 1 + F.col("id") % 5
     total = a.agg(F.count("*").alias("all"))
     first = a.select("status", "id", F.row_number().over(Window.partitionBy("status").orderBy("id")).alias("k")).where("k <= 20").groupBy("status").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    g = a.groupBy("status").agg(F.count("*").alias("customers"), F.sum(need).alias("packages"), F.sum(need * F.col("n")).alias("routed"), F.sum(F.when(F.col("n") > 1, need * (F.col("n") - 1))).alias("surplus"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("n").alias("most_visits"), F.min("n").alias("least_visits"))
+    g = a.groupBy("status").agg(F.count("*").alias("customers"), F.sum(need).alias("packages"), F.sum(need * F.col("n")).alias("routed"), F.coalesce(F.sum(F.when(F.col("n") > 1, need * (F.col("n") - 1))), F.lit(0)).alias("surplus"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("n").alias("most_visits"), F.min("n").alias("least_visits"))
     return g.join(F.broadcast(total)).withColumn("share", F.round(100.0 * F.col("customers") / F.col("all"), 6)).drop("all").join(first, "status")  # single row; four rows
 
 
