@@ -1,7 +1,7 @@
 """Toxicity by averaged subword embeddings under a linear softmax.
 
-A word is the mean of the embeddings of its character n-grams and of itself
-(hashed to a fixed number of rows), a document is the mean of its words, and a
+A word is the mean of the embeddings of its character n-grams, each as often
+as it occurs, and of itself (hashed to a fixed number of rows), a document is the mean of its words, and a
 softmax over two classes stands on top. Embeddings and softmax are trained
 jointly in numpy by full-batch Adam, so an unseen spelling shares most of its
 vectors with the ones it was made from. All rows that the sample has are
@@ -19,7 +19,6 @@ inputs. Empty tables give no rows.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import CACHE_ENTRIES, map_batches, texts_of
+from lastleg.llm.common import CACHE_ENTRIES, map_batches, mix64, texts_of
 from lastleg.llm.labelled import fold, labelled_sample
 
 PER_CLASS = 2000
@@ -38,14 +37,29 @@ EVIDENCE = 30.0
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-3
 
 
-def subwords(word: bytes) -> set[str]:
-    """A word's n-grams, marked at its ends, and the whole word."""
-    text = f"<{word.decode('utf-8', 'replace').strip('.,!?;:|')}>"
-    return {text, *(text[i : i + n] for n in range(SHORTEST, min(LONGEST, len(text)) + 1) for i in range(len(text) - n + 1))}
+_multipliers = mix64(np.arange(1, LONGEST + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
-def rows_of(grams: set[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(g) & (ROWS - 1) for g in sorted(grams)], dtype=np.int64)
+def rows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word): the embedding row of every n-gram of each word, marked at its ends, and of the whole word; and its place in ``words``.
+
+    All words are cut together: an n-gram's hash is a sum over its characters.
+    """
+    texts = [f"<{w.decode('utf-8', 'replace').strip('.,!?;:|')}>" for w in words]
+    rows = [np.fromiter(map(xxhash.xxh3_64_intdigest, texts), dtype=np.uint64, count=len(texts))]
+    owners = [np.arange(len(texts))]
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # characters from here to the end of the word
+    total = np.zeros(len(letters), dtype=np.uint64)
+    for n in range(1, LONGEST + 1):
+        total = total[: len(letters) - n + 1] + letters[n - 1 :] * _multipliers[n - 1]
+        if n >= SHORTEST:
+            fits = left[: len(total)] >= n
+            rows.append(mix64(total[fits]))
+            owners.append(owner[: len(total)][fits])
+    return (np.concatenate(rows) & np.uint64(ROWS - 1)).astype(np.int64), np.concatenate(owners)
 
 
 @dataclass
@@ -97,12 +111,14 @@ def _sample(texts: list[bytes], y: np.ndarray) -> _Sample:
         own, counts = np.unique(ids, return_counts=True)
         words.append(own)
         shares.append(counts / len(ids))
-    grams = [rows_of(subwords(w)) for w in vocab]
+    row, owner = rows_of(list(vocab))
+    order = np.argsort(owner, kind="stable")
+    row, lengths = row[order], np.bincount(owner, minlength=len(vocab))
+    grams = np.split(row, np.cumsum(lengths)[:-1])
     n_docs = np.zeros((2, ROWS), dtype=np.int64)
     for own, label in zip(words, y, strict=True):
         n_docs[label, np.unique(np.concatenate([grams[w] for w in own]))] += 1
-    lengths = np.array([len(g) for g in grams])
-    rows, row = np.unique(np.concatenate(grams), return_inverse=True)
+    rows, row = np.unique(row, return_inverse=True)
     n_docs = n_docs[:, rows]
     evidence = np.maximum(0.0, _evidence(n_docs[1], int((y == 1).sum()), n_docs[0], int((y == 0).sum())))
     doc, word, share = np.repeat(np.arange(len(texts)), [len(w) for w in words]), np.concatenate(words), np.concatenate(shares)
@@ -119,7 +135,7 @@ def train(samples: list[tuple[bytes, int]], seed: int = 11) -> Model | None:
         return None
     x = _sample([t for t, _ in samples], y)
     random = np.random.default_rng(seed)
-    params = {"e": random.normal(0, 0.01, (len(x.rows), DIMS)), "w": random.normal(0, 0.3, (DIMS, 2)), "b": np.zeros(2)}
+    params = {"e": random.normal(0, 0.01, (len(x.rows), DIMS)).astype(np.float32), "w": random.normal(0, 0.3, (DIMS, 2)), "b": np.zeros(2)}
     mean, square = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
     balance = (1 / np.bincount(y, minlength=2))[y] / 2  # both classes weigh the same
     for epoch in range(1, EPOCHS + 1):
@@ -128,11 +144,17 @@ def train(samples: list[tuple[bytes, int]], seed: int = 11) -> Model | None:
         lost = (1 / (1 + np.exp(-np.clip(logit, -700, 700))) - y) * balance  # of class 1; class 0 loses the opposite
         back = x.back(lost)
         toward = params["e"].T @ back
-        grad = {"e": np.outer(back, edge) + DECAY * params["e"], "w": np.stack([-toward, toward], axis=1) + DECAY * params["w"], "b": np.array([-lost.sum(), lost.sum()])}
+        back, edge = back.astype(np.float32), edge.astype(np.float32)
+        grad = {"e": np.outer(back, edge) + np.float32(DECAY) * params["e"], "w": np.stack([-toward, toward], axis=1) + DECAY * params["w"], "b": np.array([-lost.sum(), lost.sum()])}
         for k, g in grad.items():
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.99 * square[k] + 0.01 * g * g
-            params[k] = params[k] - RATE * (mean[k] / (1 - 0.9**epoch)) / (np.sqrt(square[k] / (1 - 0.99**epoch)) + 1e-8)
+            mean[k] *= 0.9
+            mean[k] += 0.1 * g
+            square[k] *= 0.99
+            g *= g
+            square[k] += 0.01 * g
+            step = np.sqrt(square[k] / (1 - 0.99**epoch))
+            step += 1e-8
+            params[k] -= RATE / (1 - 0.9**epoch) * mean[k] / step
     weights = np.zeros(ROWS)
     weights[x.rows] = (params["e"] @ (params["w"][:, 1] - params["w"][:, 0])) * x.scale
     return Model(weights, min(float(params["b"][1] - params["b"][0]), float(np.log(y.mean()))))
@@ -141,25 +163,22 @@ def train(samples: list[tuple[bytes, int]], seed: int = 11) -> Model | None:
 class Scorer:
     def __init__(self, model: Model | None):
         self.model, self.known = model, {}
-        self.weights = [] if model is None else model.weights.tolist()
-
-    def _word(self, word: bytes) -> float:
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        grams, weights, digest = subwords(word), self.weights, xxhash.xxh3_64_intdigest
-        value = self.known[word] = math.fsum([weights[digest(g) & (ROWS - 1)] for g in grams]) / len(grams)
-        return value
 
     def scores(self, texts: list[bytes]) -> list[float]:
         if self.model is None:
             return [0.0] * len(texts)
-        out, get = [], self.known.get
-        for text in texts:
-            words = text.lower().split()
-            values = [self._word(w) if (v := get(w)) is None else v for w in words]
-            logit = (sum(values) / len(values) if values else 0.0) + self.model.bias
-            out.append(float(1 / (1 + np.exp(-np.clip(logit, -700, 700)))))
-        return out
+        split, known = [t.lower().split() for t in texts], self.known
+        if len(known) >= CACHE_ENTRIES:
+            known.clear()
+        new = list(set().union(*split).difference(known))
+        if new:
+            row, owner = rows_of(new)
+            # a word's rows are added in their own order, so its value is the same in every batch
+            values = np.bincount(owner, weights=self.model.weights[row], minlength=len(new)) / np.bincount(owner, minlength=len(new))
+            known.update(zip(new, values.tolist(), strict=True))
+        get = known.__getitem__
+        means = np.array([sum(map(get, words)) / len(words) if words else 0.0 for words in split])
+        return (1 / (1 + np.exp(-np.clip(means + self.model.bias, -700, 700)))).tolist()
 
 
 _scorers: dict[str, Scorer] = {}
