@@ -3,7 +3,8 @@
 Every step is a join and an aggregate over edges; nothing is collected. Each
 round's edges are written to the shared folder, so lineage stays short and an
 executor may be lost at any time. Hubs, which the steps themselves make of
-large components, are few enough to be broadcast; see ``join_by_key``.
+large components, are dealt over several tasks by ``join_by_key`` once there
+are so many edges that a hub could be too much for one.
 """
 
 from __future__ import annotations
@@ -11,15 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import LEAST_HOT, Written, join_by_key
+from lastleg.llm.common import Written, join_by_key
+
+#: Edges (two numbers each) that one task takes, so that hubs need no care.
+FEW = 1_000_000
 
 
 def _star(both: DataFrame, total: int, larger: bool, work: Written) -> DataFrame:
     """Link neighbours of each node to the least node of its neighbourhood; ``both`` has each edge from u to v."""
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n_rows"))
-    if total > LEAST_HOT:
-        least = work.table(least, "least")
-    out = join_by_key(both, least, ["u"], total).where(F.col("v") > F.col("u") if larger else F.col("v") <= F.col("u"))
+    if total > FEW:
+        met = join_by_key(both, (least := work.table(least, "least")), ["u"], total)
+    else:
+        met = both.join(least.drop("n_rows"), "u")
+    out = met.where(F.col("v") > F.col("u") if larger else F.col("v") <= F.col("u"))
     linked = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not larger:
         linked = linked.unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
@@ -38,7 +44,7 @@ def components(edges: DataFrame, work: Written) -> DataFrame:
         steps = Written(work.spark)
         turned = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(turned, 2 * total, True, steps)
-        if total > LEAST_HOT:
+        if total > FEW:
             large = steps.table(large, "edges")
         now = work.table(_star(large, total, False, steps), "edges")
         steps.drop()
