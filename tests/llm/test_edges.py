@@ -180,16 +180,6 @@ def test_classes_and_repeated_pages(spark):
     assert got == sorted(want)
 
 
-def test_menus_and_articles_of_like_tags(spark):
-    """No article element, no telltale class: only their variance over the pages of the host tells a menu from a text."""
-    def page(n):
-        return f"<body><div><div>Home</div><div>Shop</div></div><div><div>Story {n}</div><div>It was {n * n}.</div></div><div><div>All rights reserved</div></div></body>"
-
-    rows = [(n, f"http://same/{n}", page(n)) for n in range(8)]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {n: f"Story {n}\n\nIt was {n * n}." for n in range(8)}
-
-
 def labelled(spark, n=60):
     good = [(k, f"calm weather over {text(30, k)}") for k in range(n)]
     bad = [(n + k, f"you {'idiot' if k % 2 else 'moron'} {text(12, 500 + k)} %%% ###") for k in range(n)]
