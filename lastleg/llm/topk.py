@@ -80,7 +80,7 @@ def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", bins: int = BINS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    work, lanes = Written(spark), max(1, LANES * partitions(spark))
+    work = Written(spark)
     # without comparing: a component may be null or NaN, and then the vector takes no part
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
@@ -89,7 +89,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     # the numbers of rows are fixed once they are written
     stored = work.table(plain.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
 
-    query_blocks = _blocks(stored.where(F.col("id") % every == 0).repartition(partitions(spark), "row"), QUERY_BLOCK)
+    # few rows make few blocks: a query's block meets every candidate block
+    n, asked = stored.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
+    lanes = max(1, min(LANES * partitions(spark), max(partitions(spark), n // CANDIDATE_BLOCK)))
+    query_blocks = _blocks(stored.where(F.col("id") % every == 0).repartition(max(1, min(partitions(spark), asked // QUERY_BLOCK)), "row"), QUERY_BLOCK)
     named = lambda x: ["dims", *(F.col(c).alias(f"{x}_{c}") for c in ("width", "rows", "ids", "vectors"))]
     query_blocks = work.table(query_blocks.select(F.monotonically_increasing_id().alias("block"), *named("q")), "queries")
     lane = F.pmod(F.xxhash64("c_rows"), F.lit(lanes))
@@ -162,8 +165,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     best = map_batches(pairs.join(bounds, "block"), kept, "query bigint, vec_id bigint, score bigint")
     first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    asked = stored.where(F.col("id") % every == 0).select(F.col("row").alias("query"), F.col("id").alias("query_id"))
-    out = work.table(best.join(asked, "query").select("query_id", "rank", "vec_id", "score"), "result")
+    named_rows = stored.where(F.col("id") % every == 0).select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    out = work.table(best.join(named_rows, "query").select("query_id", "rank", "vec_id", "score"), "result")
     work.drop(keep=1)
     return out
 
