@@ -1,6 +1,7 @@
 """Repeated ids, ties, hot keys, empty tables, clashing columns: each case of each operator against brute force."""
 
 import hashlib
+import random
 import tarfile
 import zlib
 
@@ -164,6 +165,36 @@ def test_tries_start_anew_and_cut_long_words(spark, monkeypatch):
     assert len(deep.score) == shared + 1  # one letter more than a word that is there
 
 
+def test_new_words_of_a_batch_go_down_the_trie_together(monkeypatch):
+    pieces = token_counts.zipf_pieces(P.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    letters = ["a", "e", "n", "t", "s", "ing", "tion", "é", "ß", "的", "\U0001f600", "\x00", "\ufffd", token_counts.WORD_START]
+    words = [b"\xff", b"a\xe2\x82", b"\xe2\x96", *("".join(rng.choices(letters, k=rng.randrange(1, 12))).encode() for _ in range(3000))]
+
+    def plain(raw):
+        w, best = token_counts.WORD_START + raw.decode("utf-8", "replace"), [(0.0, 0)]
+        for e in range(1, len(w) + 1):
+            size = len(w[e - 1].encode())
+            now = (best[e - 1][0] + token_counts.BYTE_SCORE * size, best[e - 1][1] + size)
+            for b in range(e - 1, -1, -1):
+                if w[b:e] in pieces and best[b][0] + pieces[w[b:e]] > now[0]:
+                    now = (best[b][0] + pieces[w[b:e]], best[b][1] + 1)
+            best.append(now)
+        return best[-1][1]
+
+    own = token_counts.TrieCounter(pieces)
+    step = token_counts.TrieCounter._step
+    monkeypatch.setattr(token_counts.TrieCounter, "_step", None)  # no character of these is scored alone
+    for at in range(0, len(words), 700):
+        part = words[at : at + 700]
+        assert own.count([b" ".join(part), b"", part[0]]) == ([len(part), 0, 1], [sum(map(plain, part)), 0, plain(part[0])])
+    prefixes = {(token_counts.WORD_START + w.decode("utf-8", "replace"))[:n] for w in words for n in range(80)}
+    assert len(own.score) == len(prefixes)  # each prefix is one node, the empty one too
+    monkeypatch.setattr(token_counts.TrieCounter, "_step", step)
+    long = [w * 9 for w in words if len(w) > 20][:40]
+    assert own.count([b" ".join(long)]) == ([len(long)], [sum(map(plain, long))])
+
+
 def test_classes_and_repeated_pages(spark):
     probes = {
         '<div class="layout has-sidebar"><article><p>x</article></div>': "x",
