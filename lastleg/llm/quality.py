@@ -9,8 +9,8 @@ with the fewest errors. The score returned is the logistic of the distance to
 it, so 0.5 is the threshold.
 
 The fit uses at most ``per_class`` labelled documents of each class, whose
-features are counted by the tasks, so no text comes to the driver; every text
-is scored whole. Null and empty texts have all features 0. Without labels of
+features are counted by the tasks; one task trains on them, and the driver
+gets the model alone. Every text is scored whole. Null and empty texts have all features 0. Without labels of
 both classes every score is 1 (nothing is rejected). A null id is not held
 out. Repeated rows get equal scores, and an id that repeats in the sample
 counts once; other columns are never inputs. Empty tables give no rows.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastleg.llm.common import map_batches, texts_of
-from lastleg.llm.labelled import fold, labelled_sample
+from lastleg.llm.labelled import fit_in_task, fold, labelled_sample
 
 PER_CLASS = 3000
 PAIRS, ROUNDS = 20_000, 400
@@ -91,7 +91,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model | None:
     random = np.random.default_rng(seed)
     good, bad = (random.choice(np.flatnonzero(y == c), PAIRS) for c in (1, 0))
     few = x.astype(np.float32)
-    gap = few[good] - few[bad]
+    gap = few[good]
+    gap -= few[bad]
     w, mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for step in range(1, ROUNDS + 1):
         lost = 1 / (1 + np.exp(np.clip(gap @ w, -700, 700)))  # the chance that the bad one wins
@@ -110,14 +111,17 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model | None:
     return Model(center, scale, w, float(edges[k]))
 
 
+def _fit(rows: list[tuple[int, bytes, int]]) -> Model | None:
+    x = np.frombuffer(b"".join([x for _, x, _ in rows]), dtype="<f4").reshape(-1, N_FEATURES).astype(np.float64)
+    return train(x, np.array([y for _, _, y in rows], dtype=np.int64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     def count(batch: pa.RecordBatch):
         yield {"doc_id": batch.column(0), "x": [features(t).astype("<f4").tobytes() for t in texts_of(batch)], "y": batch.column(2)}
 
     sample = labelled_sample(docs, labels, "quality", per_class, fold("doc_id", 3) != 1)
-    rows = sorted(map_batches(sample, count, "doc_id bigint, x binary, y int", rows=500).collect())  # 2 * per_class rows of one size
-    x = np.frombuffer(b"".join([bytes(r.x) for r in rows]), dtype="<f4").reshape(-1, N_FEATURES).astype(np.float64)
-    return train(x, np.array([r.y for r in rows], dtype=np.int64))
+    return fit_in_task(map_batches(sample, count, "doc_id bigint, x binary, y int", rows=500), _fit)  # 2 * per_class rows of one size
 
 
 def _scores(model: Model | None, texts: list[bytes]) -> list[float]:

@@ -8,8 +8,8 @@ vectors with the ones it was made from. All rows that the sample has are
 trained; the less the presence of a row says about the label, the more it is
 held to zero.
 
-The fit uses at most ``per_class`` labelled documents of each class; every
-text is scored whole. Null and empty texts get the score of no words at all
+The fit uses at most ``per_class`` labelled documents of each class, on which
+one task trains; the driver gets the model alone. Every text is scored whole. Null and empty texts get the score of no words at all
 (the bias), which is never above the toxic share of the sample: with few
 labels, texts without evidence are not toxic. Without labels of both classes
 every score is 0. A null id is not held out. Repeated rows get equal scores,
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastleg.llm.common import CACHE_ENTRIES, map_batches, mix64, texts_of
-from lastleg.llm.labelled import fold, labelled_sample
+from lastleg.llm.labelled import fit_in_task, fold, labelled_sample
 
 PER_CLASS = 2000
 ROWS, DIMS, SHORTEST, LONGEST = 1 << 18, 6, 3, 5
@@ -192,9 +192,12 @@ def scorer(broadcast, key: str) -> Scorer:
     return _scorers[key]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    rows = labelled_sample(docs, labels, "toxic", per_class, fold("doc_id", 5) != 0).collect()  # 2 * per_class texts at most
-    return train([((r.text or "").encode(), r.y) for r in sorted(rows, key=lambda r: r.doc_id)])
+def _fit(rows: list[tuple[int, bytes, int]]) -> Model | None:
+    return train([(text, y) for _, text, y in rows])
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+    return fit_in_task(labelled_sample(docs, labels, "toxic", per_class, fold("doc_id", 5) != 0), _fit)  # 2 * per_class texts at most
 
 
 def _shared(docs: DataFrame, model):
