@@ -60,3 +60,19 @@ def test_biased_order_takes_all_and_the_best_first():
     got = list(R.biased_order(order, np.random.default_rng(0)))
     assert sorted(got) == order.tolist() and got != order.tolist()
     assert all(k <= place + R.WINDOW for place, k in enumerate(got)) and np.mean(got[:100]) < 100
+
+
+def test_savings_are_the_same_in_small_batches_and_without_a_matrix(monkeypatch):
+    """Many clients share a place, so that most savings are ties."""
+    random = np.random.default_rng(2)
+    lat, lon = 41 + random.integers(0, 5, 121) / 200, 2 + random.integers(0, 5, 121) / 200
+    demand = np.concatenate(([0.0], random.integers(1, 6, 120).astype(float)))
+    minutes = R.haversine_matrix(lat, lon) * 1.3 / 20.0 * 60
+    want = R.savings_routes(minutes, demand, 60, 480)
+    monkeypatch.setattr(R, "HELD", 40)
+    monkeypatch.setattr(R, "CELLS", 300)
+    for most in (2048, 0):
+        monkeypatch.setattr(R, "MATRIX", most)
+        ways, every = R.Ways(lat, lon, 1.3, 20.0), np.arange(121)
+        assert (ways[np.ix_(every, every)] == minutes).all()
+        assert R.savings_routes(ways, demand, 60, 480) == R.savings_routes(minutes, demand, 60, 480) == want
