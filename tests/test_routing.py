@@ -76,3 +76,17 @@ def test_savings_are_the_same_in_small_batches_and_without_a_matrix(monkeypatch)
         ways, every = R.Ways(lat, lon, 1.3, 20.0), np.arange(121)
         assert (ways[np.ix_(every, every)] == minutes).all()
         assert R.savings_routes(ways, demand, 60, 480) == R.savings_routes(minutes, demand, 60, 480) == want
+
+
+def test_assignment_in_small_blocks_over_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lastleg.operators import assignment
+
+    customers = spark.range(300).select(F.col("id").alias("customer_id"), (41 + F.col("id") % 7 / 100).alias("lat"), (2 + F.col("id") % 11 / 100).alias("lon"), (1 + F.col("id") % 5).alias("demand"), (F.col("id") % 6).alias("section"))
+    sites = spark.range(60).select(F.col("id").alias("facility_id"), (41 + F.col("id") % 5 / 100).alias("lat"), (2 + F.col("id") % 3 / 100).alias("lon"), (F.col("id") % 6).alias("company"))
+    want = sorted(assignment.assign_capacity(customers, sites, 15.0).collect(), key=lambda r: r.customer_id)
+    monkeypatch.setattr(assignment, "CELLS", 25)
+    small = assignment.assign_capacity(customers, sites, 15.0)
+    assert sorted(small.collect(), key=lambda r: r.customer_id) == want and len(want) == 300
+    assert small.rdd.mapPartitions(lambda part: [any(True for _ in part)]).filter(bool).count() > 1
