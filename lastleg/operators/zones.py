@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastleg.functions.geo import EARTH_M
+from lastleg.operators.lineage import cut, units
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 #: Zones up to which a table of them is broadcast to the points.
@@ -30,12 +31,15 @@ def edges(rings: Column) -> Column:
 
 def contains(rings: Column, x: Column, y: Column) -> Column:
     """Even-odd ray casting over all sides."""
+    return _inside(edges(rings), x, y)
 
+
+def _inside(sides: Column, x: Column, y: Column) -> Column:
     def hit(e: Column) -> Column:
         crosses = (e["y1"] > y) != (e["y2"] > y)
         return F.when(crosses & (x < (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]) * (y - e["y1"]) + e["x1"]), 1).otherwise(0)
 
-    return F.aggregate(edges(rings), F.lit(0), lambda n, e: n + hit(e)) % 2 == 1
+    return F.aggregate(sides, F.lit(0), lambda n, e: n + hit(e)) % 2 == 1
 
 
 def area2(rings: Column) -> Column:
@@ -91,10 +95,13 @@ def few_zones(zones: DataFrame) -> DataFrame:
 
 
 def zones_of_points(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each point (lon, lat) with every zone that contains it; boxes first, then rays."""
-    z = few_zones(zones.withColumn("__box", box(F.col("rings"))))
-    near = points.join(z, F.col("lon").between(F.col("__box.x1"), F.col("__box.x2")) & F.col("lat").between(F.col("__box.y1"), F.col("__box.y2")))
-    return near.where(contains(F.col("rings"), F.col("lon"), F.col("lat"))).drop("__box", "rings")
+    """Each point (lon, lat) with every zone that contains it; boxes first, then rays, once for each place and by many tasks."""
+    others = [c for c in zones.columns if c != "rings"]
+    z = few_zones(zones.select(*others, box(F.col("rings")).alias("__box"), edges(F.col("rings")).alias("__sides")))
+    places = points.select("lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct().repartition(units(points.sparkSession), "lon", "lat")
+    near = places.join(z, F.col("lon").between(F.col("__box.x1"), F.col("__box.x2")) & F.col("lat").between(F.col("__box.y1"), F.col("__box.y2")))
+    held = cut(near.where(_inside(F.col("__sides"), F.col("lon"), F.col("lat"))).select("lon", "lat", *others))
+    return points.join(held, ["lon", "lat"]).select(*points.columns, *others)
 
 
 def select_zones(zones: DataFrame, wanted: list[str]) -> DataFrame:

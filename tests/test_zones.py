@@ -137,3 +137,13 @@ def test_instances_by_id_seed_and_old_name(spark, tmp_path):
     assert (find(instance="own"), find(seed=7), find(seed=8), find()) == ("own.csv", "c_low_10_7.csv", "c_low_10.csv", "c_low_10.csv")
     with pytest.raises(FileNotFoundError):
         find(instance="absent")
+
+
+def test_rays_are_cast_by_many_tasks_once_a_place(spark, monkeypatch):
+    cut, seen = zones.cut, []
+    monkeypatch.setattr(zones, "cut", lambda frame: seen.append((frame.rdd.mapPartitions(lambda part: [any(True for _ in part)]).filter(bool).count(), frame.count())) or cut(frame))
+    points = spark.range(2000).select("id", (F.col("id") % 50 / 50.0).alias("lon"), F.lit(0.5).alias("lat")).repartition(1)
+    square = spark.createDataFrame([("a", [[(0.1, 0.0), (0.7, 0.0), (0.7, 1.0), (0.1, 1.0)]])], f"zone string, rings {zones.RINGS}")
+    got = sorted(r.id for r in zones.zones_of_points(points, square).collect())
+    assert got == [k for k in range(2000) if 0.1 <= k % 50 / 50.0 < 0.7]
+    assert seen[0][0] > 4 and seen[0][1] == 30
