@@ -90,3 +90,12 @@ def test_assignment_in_small_blocks_over_several_tasks(spark, monkeypatch):
     small = assignment.assign_capacity(customers, sites, 15.0)
     assert sorted(small.collect(), key=lambda r: r.customer_id) == want and len(want) == 300
     assert small.rdd.mapPartitions(lambda part: [any(True for _ in part)]).filter(bool).count() > 1
+
+
+def test_problems_are_solved_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(120).select((F.col("id") % 12).alias("problem_id"), F.col("id").alias("client_id"), (41 + F.col("id") / 1000).alias("lat"), F.lit(2.0).alias("lon"), F.lit(1).alias("demand"), F.lit(41.0).alias("depot_lat"), F.lit(2.1).alias("depot_lon"))
+    plans = R.solve(rows, improve=True)
+    assert plans.select("problem_id").distinct().count() == 12
+    assert plans.rdd.mapPartitions(lambda part: [any(True for _ in part)]).filter(bool).count() > 2
